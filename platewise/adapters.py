@@ -243,18 +243,18 @@ class DriverTables:
     @property
     def review_responses(self) -> DataFrame:
         """Every line of a document answers the text option; two more rows answer the others."""
-        lines = F.split("text", "\n")
+        answer = lambda value, option: F.struct(value.alias("value"), F.lit(option).alias("option"))
         checked = F.when(F.col("n_chars") % 2 == 0, "true").otherwise("false")
         star = F.when(F.col("n_chars") % 3 == 0, "").otherwise((F.col("n_chars") % 6).cast("string"))
-        option = F.greatest(F.lit(0), F.col("i") - F.col("n_lines") + 1)
+        lines = F.transform(F.split("text", "\n"), lambda line: answer(line, 0))
         return (
             self.raw("documents")
-            .select("doc_id", F.size(lines).alias("n_lines"), F.posexplode(F.concat(lines, F.array(checked, star))).alias("i", "value"))
+            .select("doc_id", F.posexplode(F.concat(lines, F.array(answer(checked, 1), answer(star, 2)))).alias("i", "answer"))
             .select(
                 (F.col("doc_id") * 100000 + F.col("i")).alias("id"),
                 F.col("doc_id").alias("review_id"),
-                (F.col("doc_id") * 3 + option).alias("review_option_id"),
-                "value",
+                (F.col("doc_id") * 3 + F.col("answer.option")).alias("review_option_id"),
+                "answer.value",
             )
         )
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.schemas import PROMPT_CACHE
+
 Model = Callable[[Sequence[str]], Sequence[str]]
 ATTEMPTS = 3
 TTL_SECONDS = 7200
@@ -94,11 +96,7 @@ def prompt_cache(
     """
     keyed = prompts.withColumn("prompt_md5", prompt_key(column))
     fresh = fresh_cache(cache, now, ttl_seconds)
-    missing = (
-        keyed.select("prompt_md5", column)
-        .join(fresh, "prompt_md5", "left_anti")
-        .dropDuplicates(["prompt_md5"])
-    )
+    missing = keyed.select("prompt_md5", column).dropDuplicates(["prompt_md5"]).join(fresh, "prompt_md5", "left_anti")
     answered = llm_batch(missing, models, model, column).filter("error IS NULL").select(
         "prompt_md5", F.col("completion").alias("response")
     )
@@ -171,3 +169,27 @@ def parse_rating(answer: Column) -> Column:
     """Whole number 1–10, else null."""
     number = F.trim(answer).try_cast("int")
     return F.when(number.between(1, 10), number)
+
+
+def answer_with_cache(
+    prompts: DataFrame,
+    cache_path: str,
+    now: dt.datetime,
+    models: Mapping[str, Callable[[], Model]],
+    model: str,
+    ttl_seconds: int = TTL_SECONDS,
+    column: str = "prompt",
+) -> DataFrame:
+    """Answers for all prompts through a cache table that is extended on the way.
+
+    The new answers are appended to the table before they are read back, so a
+    prompt goes to the model once even if the result is evaluated several times
+    or an executor is lost later.
+    """
+    spark = prompts.sparkSession
+    spark.createDataFrame([], PROMPT_CACHE).write.mode("append").parquet(cache_path)
+    read = lambda: spark.read.schema(PROMPT_CACHE).parquet(cache_path)
+    _, new = prompt_cache(prompts, read(), now, models, model, ttl_seconds, column)
+    new.write.mode("append").parquet(cache_path)
+    fresh = fresh_cache(read(), now, ttl_seconds)
+    return prompts.withColumn("prompt_md5", prompt_key(column)).join(fresh, "prompt_md5", "left")

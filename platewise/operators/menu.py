@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import lexicons, text
@@ -216,10 +216,19 @@ def attach_nutrition(mapped: DataFrame, nutrition: DataFrame) -> DataFrame:
     Both lists end with the shorter. ``nutrition`` is keyed by the component
     text, from a table or from batch inference.
     """
-    listed = lambda c: F.when(F.col(c) != "", F.split(c, r" \| "))
-    left = mapped.select("id", F.posexplode(listed("quantity_details")).alias("position", "quantity_component"))
-    right = mapped.select("id", F.posexplode(listed("root_item_name")).alias("position", "root_item"))
-    return left.join(right, ["id", "position"]).join(nutrition, "quantity_component", "left")
+    wanted, found = F.split("quantity_details", r" \| "), F.split("root_item_name", r" \| ")
+    shorter = F.least(F.size(wanted), F.size(found))
+    pairs = F.zip_with(
+        F.slice(wanted, 1, shorter),
+        F.slice(found, 1, shorter),
+        lambda a, b: F.struct(a.alias("quantity_component"), b.alias("root_item")),
+    )
+    return (
+        mapped.filter("quantity_details <> '' AND root_item_name <> ''")
+        .select("id", F.posexplode(pairs).alias("position", "pair"))
+        .select("id", "position", "pair.*")
+        .join(nutrition, "quantity_component", "left")
+    )
 
 
 def evaluate_mapping(predictions: DataFrame, fold_unicode: bool = True) -> DataFrame:
@@ -251,15 +260,14 @@ def sentence_windows(documents: DataFrame, size: int = 2, key: str = "doc_id", c
     sentences = F.filter(
         F.transform(F.split(column, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != ""
     )
-    i = F.col("position")
-    first = F.greatest(i - size, F.lit(0))
+
+    def with_window(sentence: Column, i: Column) -> Column:
+        first = F.greatest(i - size, F.lit(0))
+        near = F.slice("sentences", first + 1, i + size - first + 1)
+        return F.struct(sentence.alias("sentence"), F.array_join(near, " ").alias("window"))
+
     return (
         documents.select(key, sentences.alias("sentences"))
-        .select(key, "sentences", F.posexplode("sentences").alias("position", "sentence"))
-        .select(
-            key,
-            "position",
-            "sentence",
-            F.array_join(F.slice("sentences", first + 1, i + size - first + 1), " ").alias("window"),
-        )
+        .select(key, F.posexplode(F.transform("sentences", with_window)).alias("position", "s"))
+        .select(key, "position", "s.*")
     )

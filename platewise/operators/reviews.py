@@ -91,6 +91,11 @@ def matches(text: Column, words: Sequence[str]) -> Column:
     return hits
 
 
+def lowered(comments: DataFrame) -> DataFrame:
+    """Comments with their lower-case text in a column of its own, so that it is built once per row."""
+    return comments.withColumn("lowered", F.lower("user_comment"))
+
+
 def sentiment_score(
     comments: DataFrame,
     positive: Sequence[str] = lexicons.POSITIVE_WORDS,
@@ -104,11 +109,11 @@ def sentiment_score(
     0.3. Both per-review terms are whole numbers, so the sums are exact however
     the rows are split. Ratings outside 1–5 are left out and counted.
     """
-    text = F.lower("user_comment")
-    scored = comments.select(
+    text = F.col("lowered")
+    scored = lowered(comments).select(
         *keys,
         stars().alias("stars"),
-        (F.coalesce(F.col("user_comment"), F.lit("")) != "").alias("commented"),
+        (F.coalesce(text, F.lit("")) != "").alias("commented"),
         (matches(text, positive) - matches(text, negative)).alias("tone"),
     ).withColumn("valid", F.coalesce(F.col("stars").between(1, 5), F.lit(False)))
     with_comment = F.col("valid") & F.col("commented")
@@ -154,8 +159,8 @@ def sentiment_breakdown(comments: DataFrame) -> DataFrame:
 
 
 def price_complaints(comments: DataFrame, words: Sequence[str] = lexicons.PRICE_WORDS) -> DataFrame:
-    return comments.groupBy("vendor_id").agg(
-        F.count_if(mentions(F.lower("user_comment"), words)).alias("high_price_complain_reviews")
+    return lowered(comments).groupBy("vendor_id").agg(
+        F.count_if(mentions(F.col("lowered"), words)).alias("high_price_complain_reviews")
     )
 
 
@@ -166,10 +171,10 @@ def delivery_sentiment(
     threshold: float = 0.3,
 ) -> DataFrame:
     """Label and negative share of the reviews that speak of delivery or packing."""
-    text = F.lower("user_comment")
+    text = F.col("lowered")
     about = F.coalesce(mentions(text, words), F.lit(False))
     bad = about & ((stars() <= 2) | mentions(text, negative))
-    counted = comments.groupBy("vendor_id").agg(
+    counted = lowered(comments).groupBy("vendor_id").agg(
         F.count_if(about).alias("total_mentions"), F.count_if(bad).alias("negative_mentions")
     )
     share = F.col("negative_mentions") / F.col("total_mentions")

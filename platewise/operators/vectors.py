@@ -11,7 +11,7 @@ of queries with one block of catalogue and emits at most k rows per query.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,44 +26,31 @@ ANGLE_SLACK = 2e-3
 DIGITS = 6
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays as a JVM expression, 0 where a vector is zero."""
-    product = F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
-    norms = norm(a) * norm(b)
-    return F.when(norms > 0, product / norms).otherwise(0.0)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def _unit(vector: str) -> Column:
-    length = norm(F.col(vector))
-    return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
-
-
 def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
+def _unit(vectors: Iterable) -> np.ndarray:
+    """Rows scaled to length 1; a zero vector stays zero and is similar to nothing."""
+    matrix = np.stack(list(vectors)).astype("float64")
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
 def _assign(catalogue: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Catalogue rows with their nearest pivot and the angle to it."""
+    if len(pivots) == 1:
+        return catalogue.select("id", "embedding", F.lit(0).alias("cell"))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                angles = _angles(_stack(batch["unit"]), pivots)
+                angles = _angles(_unit(batch["embedding"]), pivots)
                 batch["cell"] = angles.argmin(axis=1).astype("int32")
                 batch["radius"] = angles.min(axis=1)
                 yield batch
 
-    return catalogue.mapInPandas(nearest, "id bigint, unit array<double>, cell int, radius double")
+    return catalogue.mapInPandas(nearest, "id bigint, embedding array<float>, cell int, radius double")
 
 
 def _route(
@@ -75,12 +62,14 @@ def _route(
     angle of the k-th neighbour; a cell whose nearest possible row lies beyond
     is skipped. With ``probes`` only that many nearest cells are visited.
     """
+    if len(pivots) == 1:
+        return queries.select("query_id", "embedding", F.lit(0).alias("cell"))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            angles = _angles(_stack(batch["unit"]), pivots)
+            angles = _angles(_unit(batch["embedding"]), pivots)
             if probes is not None:
                 chosen = np.argsort(angles, axis=1, kind="stable")[:, :probes]
                 visited = np.zeros(angles.shape, dtype=bool)
@@ -96,8 +85,8 @@ def _route(
             batch["cells"] = [np.flatnonzero(row & (counts > 0)).astype("int32") for row in visited]
             yield batch
 
-    routed = queries.mapInPandas(visit, "query_id bigint, unit array<double>, cells array<int>")
-    return routed.select("query_id", "unit", F.explode("cells").alias("cell"))
+    routed = queries.mapInPandas(visit, "query_id bigint, embedding array<float>, cells array<int>")
+    return routed.select("query_id", "embedding", F.explode("cells").alias("cell"))
 
 
 def _per_cell(values: np.ndarray) -> Column:
@@ -106,35 +95,39 @@ def _per_cell(values: np.ndarray) -> Column:
 
 
 def _search(queries: DataFrame, catalogue: DataFrame, k: int, probes: int | None, block_rows: int) -> DataFrame:
-    queries = queries.select(F.col("id").alias("query_id"), _unit("embedding").alias("unit"))
-    catalogue = catalogue.select("id", _unit("embedding").alias("unit"))
+    vector = F.col("embedding").cast("array<float>")
+    queries = queries.select(F.col("id").alias("query_id"), vector.alias("embedding"))
+    catalogue = catalogue.select("id", vector.alias("embedding"))
 
     # Bounded by MAX_CELLS vectors, whatever the catalogue holds.
-    cells = max(1, min(MAX_CELLS, catalogue.count() // block_rows))
-    sample = catalogue.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
-    if not sample:
-        return queries.select("query_id", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("similarity")).limit(0)
-    pivots = np.array([row["unit"] for row in sample])
+    stored = catalogue.count()
+    cells = max(1, min(MAX_CELLS, stored // block_rows))
+    sample = catalogue.orderBy(F.xxhash64("id"), "id").limit(cells).collect() if cells > 1 else []
+    pivots = _unit(row["embedding"] for row in sample) if sample else np.zeros((1, 1))
 
     assigned = _assign(catalogue, pivots)
     counts, low, high = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots))
-    for row in assigned.groupBy("cell").agg(F.count("*"), F.min("radius"), F.max("radius")).collect():
-        counts[row[0]], low[row[0]], high[row[0]] = row[1], row[2], row[3]
-    routed = _route(queries, pivots, counts, low, high, k, probes)
     visits = np.zeros(len(pivots))
-    for row in routed.groupBy("cell").count().collect():
-        visits[row[0]] = row[1]
+    if cells == 1:
+        counts[0], visits[0] = stored, queries.count()
+        routed = _route(queries, pivots, counts, low, high, k, probes)
+    else:
+        for row in assigned.groupBy("cell").agg(F.count("*"), F.min("radius"), F.max("radius")).collect():
+            counts[row[0]], low[row[0]], high[row[0]] = row[1], row[2], row[3]
+        routed = _route(queries, pivots, counts, low, high, k, probes)
+        for row in routed.groupBy("cell").count().collect():
+            visits[row[0]] = row[1]
 
     catalogue_blocks = np.maximum(np.ceil(counts / block_rows), 1)
     query_blocks = np.maximum(np.ceil(visits / block_rows), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = routed.select(
-        "query_id", "unit", "cell",
+        "query_id", "embedding", "cell",
         F.pmod(F.xxhash64("query_id"), _per_cell(query_blocks)).cast("int").alias("query_block"),
         every(_per_cell(catalogue_blocks)).alias("catalogue_block"),
     )
     right = assigned.select(
-        "id", "unit", "cell",
+        "id", "embedding", "cell",
         F.pmod(F.xxhash64("id"), _per_cell(catalogue_blocks)).cast("int").alias("catalogue_block"),
         every(_per_cell(query_blocks)).alias("query_block"),
     )
@@ -144,13 +137,17 @@ def _search(queries: DataFrame, catalogue: DataFrame, k: int, probes: int | None
         if wanted.empty or stored.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         stored = stored.sort_values("id")
-        similar = np.round(_stack(wanted["unit"]) @ _stack(stored["unit"]).T, DIGITS)
-        best = np.argsort(-similar, axis=1, kind="stable")[:, :k]
+        similar = _unit(wanted["embedding"]) @ _unit(stored["embedding"]).T
+        # One whole number per pair that orders by rounded similarity, then lower id.
+        size, kept = len(stored), min(k, len(stored))
+        score = np.rint(similar * 10**DIGITS).astype("int64")
+        key = score * size + np.arange(size - 1, -1, -1)
+        best = np.argpartition(key, size - kept, axis=1)[:, size - kept :]
         return pd.DataFrame(
             {
-                "query_id": np.repeat(wanted["query_id"].to_numpy(), best.shape[1]),
+                "query_id": np.repeat(wanted["query_id"].to_numpy(), kept),
                 "id": stored["id"].to_numpy()[best].ravel(),
-                "similarity": np.take_along_axis(similar, best, axis=1).ravel(),
+                "similarity": np.take_along_axis(score, best, axis=1).ravel() / 10**DIGITS,
             }
         )
 

@@ -27,8 +27,10 @@ PRICE_AFTER = r"\b(\d+)\s*(/-|-/)\s*(rs\b)?|\b(\d+)\s*(rs|inr)\b"
 PRICE_BEFORE = r"\b(rs|inr)\.?\s*(\d+)\b"
 UNIT = "(" + "|".join(lexicons.UNIT_WORDS) + ")"
 QUANTITY = r"\b(\d+)\s*" + UNIT + r"\b"
+# A quantity as one word, '50_ml', so that a number with a unit and a bare one can be told apart.
+JOINED_QUANTITY = r"\b(\d+)_([a-z]+)\b"
 # A quantity between two words starts a new component.
-INNER_QUANTITY = r"([a-z])\s+(\d+)\s*(" + UNIT[1:-1] + r")?\s+([a-z])"
+INNER_QUANTITY = r"([a-z])\s+(\d+(_[a-z]+)?)\s+([a-z])"
 HARD_SEPARATOR = r"\s*(&|\+|,|\|)\s*|\s+with\s+"
 PRICE_MARK = r"@(\d+)"
 
@@ -89,14 +91,15 @@ def segments(name: Column) -> Column:
     """The raw pieces of a multi-item name, each with its own quantity and price mark."""
     text = F.regexp_replace(mark_prices(F.lower(name)), HARD_SEPARATOR, "|")
     text = F.regexp_replace(text, r"\s-\s", " ")
-    text = F.regexp_replace(text, INNER_QUANTITY, "$1|$2 $3 $4")
+    text = F.regexp_replace(text, QUANTITY, "$1_$2")
+    text = F.regexp_replace(text, INNER_QUANTITY, "$1|$2 $4")
     return F.split(text, r"\|")
 
 
 def component_name(segment: Column, noise: Sequence[str], spellings: Mapping[str, str]) -> Column:
     """Name part of one segment: no quantity, price or noise, words spelled canonically."""
     text = F.regexp_replace(segment, PRICE_MARK, " ")
-    for pattern in (QUANTITY, r"\b\d+\b", ADD_ON, _any_word(noise), r"[^a-z0-9' ]", r"^\s*of\b"):
+    for pattern in (JOINED_QUANTITY, r"\b\d+\b", ADD_ON, _any_word(noise), r"[^a-z0-9' ]", r"^\s*of\b"):
         text = F.regexp_replace(text, pattern, " ")
     return spell_correct(squeeze(text), spellings)
 
@@ -136,8 +139,8 @@ def quantity_details(
 
     def detail(segment: Column) -> Column:
         name_part = component_name(segment, noise, spellings)
-        amount = F.regexp_extract(segment, QUANTITY, 1)
-        unit = _short_unit(F.regexp_extract(segment, QUANTITY, 2))
+        amount = F.regexp_extract(segment, JOINED_QUANTITY, 1)
+        unit = _short_unit(F.regexp_extract(segment, JOINED_QUANTITY, 2))
         price = F.regexp_extract(segment, PRICE_MARK, 1)
         text = F.concat(
             title_case(name_part),

@@ -75,13 +75,13 @@ def _stripped(column: str) -> str:
 
 
 def _segments(column: str) -> str:
-    steps = (*PRICES, (text.HARD_SEPARATOR, "|"), (r"\s-\s", " "), (text.INNER_QUANTITY, r"\1|\2 \3 \4"))
+    steps = (*PRICES, (text.HARD_SEPARATOR, "|"), (r"\s-\s", " "), (text.QUANTITY, r"\1_\2"), (text.INNER_QUANTITY, r"\1|\2 \4"))
     return f"string_split({_chain(f'lower({column})', *steps)}, '|')"
 
 
 def _component(segment: str) -> str:
     steps = (
-        (text.PRICE_MARK, " "), (text.QUANTITY, " "), (r"\b\d+\b", " "), (text.ADD_ON, " "), (NOISE, " "),
+        (text.PRICE_MARK, " "), (text.JOINED_QUANTITY, " "), (r"\b\d+\b", " "), (text.ADD_ON, " "), (NOISE, " "),
         (r"[^a-z0-9'' ]", " "), (r"^\s*of\b", " "),
     )
     return _spell(_squeeze(_chain(segment, *steps)), lexicons.SPELLINGS)
@@ -90,8 +90,8 @@ def _component(segment: str) -> str:
 def _details(name: str) -> str:
     part = (
         f"CASE WHEN {_component('s')} <> '' THEN {_title(_component('s'))} "
-        f"|| CASE WHEN regexp_extract(s, '{text.QUANTITY}', 1) <> '' THEN ' (' || regexp_extract(s, '{text.QUANTITY}', 1) || ' ' || "
-        f"{_case_map(lexicons.UNITS, f'regexp_extract(s, {chr(39)}{text.QUANTITY}{chr(39)}, 2)')} || ')' ELSE '' END "
+        f"|| CASE WHEN regexp_extract(s, '{text.JOINED_QUANTITY}', 1) <> '' THEN ' (' || regexp_extract(s, '{text.JOINED_QUANTITY}', 1) || ' ' || "
+        f"{_case_map(lexicons.UNITS, f'regexp_extract(s, {chr(39)}{text.JOINED_QUANTITY}{chr(39)}, 2)')} || ')' ELSE '' END "
         f"|| CASE WHEN regexp_extract(s, '{text.PRICE_MARK}', 1) <> '' THEN ' [' || regexp_extract(s, '{text.PRICE_MARK}', 1) || ' Rs]' ELSE '' END END"
     )
     return f"array_to_string(list_filter(list_transform({_segments(name)}, lambda s: {part}), lambda d: d IS NOT NULL), ' | ')"

@@ -1,11 +1,15 @@
 import datetime as dt
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from platewise import schemas
 from platewise.operators import inference, menu, sessions
 
+# The models below travel with the jobs, like a user's script would.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NOW = dt.datetime(2025, 1, 1, 12)
 
 

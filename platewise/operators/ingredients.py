@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.schemas import INGREDIENTS
 
 
 def latest_ingredients(ingredients_data: DataFrame) -> DataFrame:
-    """One parsed ingredient list per (vendor, menu name); of several the highest id counts."""
-    return (
-        ingredients_data.groupBy("vendor_id", "menu_name")
-        .agg(F.max_by("ingredients", "id").alias("ingredients"))
-        .withColumn("ingredients", F.from_json("ingredients", INGREDIENTS))
+    """One ingredient list, as JSON text, per (vendor, menu name); of several the highest id counts."""
+    return ingredients_data.groupBy("vendor_id", F.col("menu_name").alias("product_name")).agg(
+        F.max_by("ingredients", "id").alias("ingredients")
     )
 
 
+def parsed(ingredients: str = "ingredients") -> Column:
+    return F.from_json(ingredients, INGREDIENTS)
+
+
 def menu_ingredients(vendor_menu: DataFrame, ingredients_data: DataFrame) -> DataFrame:
     """Menu items with their ingredient list; items without one are left out."""
-    listed = latest_ingredients(ingredients_data).withColumnRenamed("menu_name", "product_name")
+    listed = latest_ingredients(ingredients_data).withColumn("ingredients", parsed())
     return vendor_menu.select(
         "vendor_id", F.col("id").alias("product_id"), F.col("name").alias("product_name")
     ).join(listed, ["vendor_id", "product_name"])
@@ -32,24 +34,25 @@ def items_without_ingredients(vendor_menu: DataFrame, ingredients_data: DataFram
 
 def append_missing(found: DataFrame, ingredients_data: DataFrame) -> DataFrame:
     """The found rows whose (vendor, menu name) is not stored yet, ready to append; of equal names one."""
-    fresh = found.join(ingredients_data.select("vendor_id", "menu_name"), ["vendor_id", "menu_name"], "left_anti")
-    return fresh.groupBy("vendor_id", "menu_name").agg(F.min("ingredients").alias("ingredients"))
+    keys = ["vendor_id", "menu_name"]
+    once = found.groupBy(*keys).agg(F.min("ingredients").alias("ingredients"))
+    return once.join(ingredients_data.select(*keys), keys, "left_anti")
 
 
 def predictions_with_ingredients(forecast: DataFrame, ingredients_data: DataFrame) -> DataFrame:
     """Forecast totals per (vendor, product name) beside each of its ingredients; unknown products are skipped.
 
     The horizon is summed before the list is exploded, so a product contributes
-    one row per ingredient and not one per day.
+    one row per ingredient and not one per day, and only lists of forecast
+    products are parsed.
     """
     seen = F.struct("date", "product_id")
     totals = forecast.groupBy("vendor_id", "product_name").agg(
         F.sum("order_count").alias("order_count"), F.min(seen).alias("first_seen")
     )
-    listed = latest_ingredients(ingredients_data).withColumnRenamed("menu_name", "product_name")
     return (
-        totals.join(listed, ["vendor_id", "product_name"])
-        .select("vendor_id", "product_name", "order_count", "first_seen", F.posexplode("ingredients").alias("position", "i"))
+        totals.join(latest_ingredients(ingredients_data), ["vendor_id", "product_name"])
+        .select("vendor_id", "product_name", "order_count", "first_seen", F.posexplode(parsed()).alias("position", "i"))
         .select(
             "vendor_id",
             "product_name",

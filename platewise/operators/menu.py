@@ -13,9 +13,10 @@ from platewise.operators.vectors import cosine_topk
 SEPARATOR = " | "
 CANDIDATES = 50
 PLAIN_CANDIDATES = 10
+WATERMARK = 720465  # fixed value: ids up to here are already mapped
 
 
-def id_watermark(items: DataFrame, low: int, fold_unicode: bool = True) -> DataFrame:
+def id_watermark(items: DataFrame, low: int = WATERMARK, fold_unicode: bool = True) -> DataFrame:
     """Items above an id, with normalised names, in id order."""
     return (
         items.filter(F.col("id") > low)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.dates import day_literal, days_before
+from platewise.schemas import ORDER_STATUSES
 
 MONEY = "decimal(18,2)"
 DAYS_PER_MONTH = 30  # the monthly averages divide by a fixed 30
@@ -29,6 +30,11 @@ def status_filter(df: DataFrame, excluded: Sequence[str], status: str = "status"
     return df.filter(~F.col(status).isin(*excluded))
 
 
+def unknown_statuses(df: DataFrame, known: Sequence[str] = ORDER_STATUSES, status: str = "status") -> DataFrame:
+    """Statuses outside the vocabulary with their row counts."""
+    return df.filter(~F.col(status).isin(*known)).groupBy(status).agg(F.count("*").alias("rows"))
+
+
 def order_item_join(orders: DataFrame, items: DataFrame) -> DataFrame:
     keyed = orders.withColumnRenamed("id", "order_id")
     keys = ["order_id"] + [c for c in ("vendor_id",) if c in keyed.columns and c in items.columns]

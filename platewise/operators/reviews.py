@@ -55,19 +55,22 @@ def review_comments(
     The join and the grouping share the review id, so they share one exchange.
     A review without responses has the comment ''.
     """
-    kept = review_reference_filter(review, as_of, days, item).select(
-        F.col("id").alias("review_id"),
-        "vendor_id",
-        "order_items",
-        "rating",
-        F.to_date("created_at").alias("comment_date"),
-    )
+    kept = _window_reviews(review, as_of, days, item)
     joined = kept.join(response_segments(responses, options), "review_id", "left")
     return (
         joined.withColumn("segment", F.when(F.col("response_id").isNull(), "").otherwise(F.col("segment")))
-        .groupBy("review_id", "vendor_id", "order_items", "rating", "comment_date")
+        .groupBy(*kept.columns)
         .agg(F.expr("listagg(segment, '. ') WITHIN GROUP (ORDER BY response_id)").alias("user_comment"))
-        .withColumn("rating", F.concat(F.col("rating").cast("string"), F.lit("/5")))
+    )
+
+
+def _window_reviews(review: DataFrame, as_of: dt.date, days: int, item: str | None = None) -> DataFrame:
+    return review_reference_filter(review, as_of, days, item).select(
+        F.col("id").alias("review_id"),
+        "vendor_id",
+        "order_items",
+        F.concat(F.col("rating").cast("string"), F.lit("/5")).alias("rating"),
+        F.to_date("created_at").alias("comment_date"),
     )
 
 
@@ -75,32 +78,100 @@ def stars(rating: str = "rating") -> Column:
     return F.split_part(F.col(rating), F.lit("/"), F.lit(1)).try_cast("int")
 
 
-def mentions(text: Column, words: Sequence[str]) -> Column:
-    """Whether any listed word occurs in the text, as a substring."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.contains(word)
-    return hit
+# --- words of a comment ---------------------------------------------------------
+
+# Which listed words a comment holds is kept as bits, so that a review shuffles a
+# few whole numbers and not its text.
+BITS = 62
+WORDS = tuple(
+    dict.fromkeys(
+        lexicons.POSITIVE_WORDS
+        + lexicons.NEGATIVE_WORDS
+        + lexicons.DELIVERY_WORDS
+        + lexicons.DELIVERY_NEGATIVE_WORDS
+        + lexicons.PRICE_WORDS
+    )
+)
+
+
+def _chunks(words: Sequence[str]) -> list[tuple[str, Sequence[str]]]:
+    return [(f"words_{i // BITS}", words[i : i + BITS]) for i in range(0, len(words), BITS)]
+
+
+def word_bits(text: Column, words: Sequence[str] = WORDS) -> dict[str, Column]:
+    """Bit columns telling which words occur in a lower-case text, as substrings."""
+    bits = {}
+    for name, chunk in _chunks(words):
+        mask = F.lit(0).cast("bigint")
+        for i, word in enumerate(chunk):
+            mask = mask + text.contains(word).cast("bigint") * (1 << i)
+        bits[name] = F.coalesce(mask, F.lit(0).cast("bigint"))
+    return bits
 
 
-def matches(text: Column, words: Sequence[str]) -> Column:
-    """How many of the listed words occur in the text, as substrings."""
+def matches(wanted: Sequence[str], words: Sequence[str] = WORDS) -> Column:
+    """How many of the wanted words a row's bits hold."""
+    missing = set(wanted) - set(words)
+    if missing:
+        raise ValueError(f"words without a bit: {sorted(missing)}")
     hits = F.lit(0)
-    for word in words:
-        hits = hits + text.contains(word).cast("int")
+    for name, chunk in _chunks(words):
+        mask = sum(1 << i for i, word in enumerate(chunk) if word in wanted)
+        if mask:
+            hits = hits + F.bit_count(F.col(name).bitwiseAND(F.lit(mask).cast("bigint")))
     return hits
 
 
-def lowered(comments: DataFrame) -> DataFrame:
-    """Comments with their lower-case text in a column of its own, so that it is built once per row."""
-    return comments.withColumn("lowered", F.lower("user_comment"))
+def comment_signals(comments: DataFrame, words: Sequence[str] = WORDS) -> DataFrame:
+    """Word bits of assembled comments, and whether there is a comment at all."""
+    text = F.col("user_comment")
+    return (
+        comments.withColumn("lowered", F.lower(text))
+        .withColumns(word_bits(F.col("lowered"), words))
+        .withColumn("commented", F.coalesce(text, F.lit("")) != "")
+        .drop("lowered", "user_comment")
+    )
+
+
+def review_signals(
+    review: DataFrame,
+    responses: DataFrame,
+    options: DataFrame,
+    as_of: dt.date,
+    days: int = 90,
+    words: Sequence[str] = WORDS,
+) -> DataFrame:
+    """What :func:`comment_signals` gives for :func:`review_comments`, without building the comments.
+
+    No listed word spans the '. ' between two segments, so each segment is
+    searched where it is read and only bits are combined per review, before the
+    shuffle as well as after.
+    """
+    names = [name for name, _ in _chunks(words)]
+    found = (
+        response_segments(responses, options)
+        .withColumn("lowered", F.lower("segment"))
+        .select("review_id", "segment", *[c.alias(n) for n, c in word_bits(F.col("lowered"), words).items()])
+        .groupBy("review_id")
+        .agg(
+            *[F.bit_or(n).alias(n) for n in names],
+            ((F.count("segment") > 1) | F.coalesce(F.bool_or(F.col("segment") != ""), F.lit(False))).alias("commented"),
+        )
+    )
+    return (
+        _window_reviews(review, as_of, days)
+        .join(found, "review_id", "left")
+        .na.fill(0, names)
+        .withColumn("commented", F.coalesce("commented", F.lit(False)))
+    )
 
 
 def sentiment_score(
-    comments: DataFrame,
+    signals: DataFrame,
     positive: Sequence[str] = lexicons.POSITIVE_WORDS,
     negative: Sequence[str] = lexicons.NEGATIVE_WORDS,
     keys: Sequence[str] = ("vendor_id",),
+    words: Sequence[str] = WORDS,
 ) -> DataFrame:
     """Score 0–100 from stars and listed words.
 
@@ -109,12 +180,11 @@ def sentiment_score(
     0.3. Both per-review terms are whole numbers, so the sums are exact however
     the rows are split. Ratings outside 1–5 are left out and counted.
     """
-    text = F.col("lowered")
-    scored = lowered(comments).select(
+    scored = signals.select(
         *keys,
         stars().alias("stars"),
-        (F.coalesce(text, F.lit("")) != "").alias("commented"),
-        (matches(text, positive) - matches(text, negative)).alias("tone"),
+        "commented",
+        (matches(positive, words) - matches(negative, words)).alias("tone"),
     ).withColumn("valid", F.coalesce(F.col("stars").between(1, 5), F.lit(False)))
     with_comment = F.col("valid") & F.col("commented")
     value = 14 * F.col("stars") + F.when(F.col("commented"), 4 * F.col("tone")).otherwise(0)
@@ -158,23 +228,25 @@ def sentiment_breakdown(comments: DataFrame) -> DataFrame:
     )
 
 
-def price_complaints(comments: DataFrame, words: Sequence[str] = lexicons.PRICE_WORDS) -> DataFrame:
-    return lowered(comments).groupBy("vendor_id").agg(
-        F.count_if(mentions(F.col("lowered"), words)).alias("high_price_complain_reviews")
+def price_complaints(
+    signals: DataFrame, price: Sequence[str] = lexicons.PRICE_WORDS, words: Sequence[str] = WORDS
+) -> DataFrame:
+    return signals.groupBy("vendor_id").agg(
+        F.count_if(matches(price, words) > 0).alias("high_price_complain_reviews")
     )
 
 
 def delivery_sentiment(
-    comments: DataFrame,
-    words: Sequence[str] = lexicons.DELIVERY_WORDS,
+    signals: DataFrame,
+    delivery: Sequence[str] = lexicons.DELIVERY_WORDS,
     negative: Sequence[str] = lexicons.DELIVERY_NEGATIVE_WORDS,
     threshold: float = 0.3,
+    words: Sequence[str] = WORDS,
 ) -> DataFrame:
     """Label and negative share of the reviews that speak of delivery or packing."""
-    text = F.col("lowered")
-    about = F.coalesce(mentions(text, words), F.lit(False))
-    bad = about & ((stars() <= 2) | mentions(text, negative))
-    counted = lowered(comments).groupBy("vendor_id").agg(
+    about = matches(delivery, words) > 0
+    bad = about & ((stars() <= 2) | (matches(negative, words) > 0))
+    counted = signals.groupBy("vendor_id").agg(
         F.count_if(about).alias("total_mentions"), F.count_if(bad).alias("negative_mentions")
     )
     share = F.col("negative_mentions") / F.col("total_mentions")

@@ -381,17 +381,17 @@ def sentiment_breakdown(t: DriverTables) -> DataFrame:
 
 @query
 def price_complaints(t: DriverTables) -> DataFrame:
-    return reviews.price_complaints(_comments(t))
+    return reviews.price_complaints(_signals(t))
 
 
 @query
 def sentiment_score(t: DriverTables) -> DataFrame:
-    return reviews.sentiment_score(_comments(t))
+    return reviews.sentiment_score(_signals(t))
 
 
 @query
 def delivery_sentiment(t: DriverTables) -> DataFrame:
-    return reviews.delivery_sentiment(_comments(t))
+    return reviews.delivery_sentiment(_signals(t))
 
 
 @query
@@ -698,6 +698,10 @@ def _comments(t: DriverTables) -> DataFrame:
     return reviews.review_comments(t.review, t.review_responses, t.review_options, t.as_of)
 
 
+def _signals(t: DriverTables) -> DataFrame:
+    return reviews.review_signals(t.review, t.review_responses, t.review_options, t.as_of)
+
+
 def _daily(t: DriverTables) -> DataFrame:
     return orders.vendor_daily_orders(t.sales_order, t.as_of)
 
@@ -741,7 +745,7 @@ def _compared(t: DriverTables) -> DataFrame:
 
 def _root_names(t: DriverTables) -> DataFrame:
     """Catalogue of component names: what products and their kinds are called once noise is gone."""
-    names = t.raw("part").select(F.explode(F.array("p_name", F.lower("p_type"))).alias("name"))
+    names = t.raw("part").select(F.explode(F.array("p_name", F.lower("p_type"))).alias("name")).distinct()
     return names.select(text.strip_noise(F.col("name")).alias("name")).filter("name <> ''").distinct()
 
 

@@ -21,7 +21,28 @@ HOLIDAYS = "date date, holiday string, region string, weightage int"
 IMAGE_MAPPINGS = "reference_type string, reference_id bigint, folder string, file_name string"
 ROOT_ITEM_VECTORS = "id bigint, name string, embedding array<float>"
 PROMPT_CACHE = "prompt_md5 string, response string, created_at timestamp"
-SESSION_TURNS = "session_id string, turn int, question string, answer string"
+
+TABLES = {
+    "sales_order": SALES_ORDER,
+    "order_items": ORDER_ITEMS,
+    "vendor": VENDOR,
+    "vendor_menu": VENDOR_MENU,
+    "vendor_schedules": VENDOR_SCHEDULES,
+    "vendor_location": VENDOR_LOCATION,
+    "location": LOCATION,
+    "addresses": ADDRESSES,
+    "states": NAMED,
+    "cities": NAMED,
+    "company": NAMED,
+    "review": REVIEW,
+    "review_options": REVIEW_OPTIONS,
+    "review_options_response": REVIEW_RESPONSES,
+    "ingredients_data": INGREDIENTS_DATA,
+    "holidays": HOLIDAYS,
+    "image_mappings": IMAGE_MAPPINGS,
+    "root_item_vectors": ROOT_ITEM_VECTORS,
+    "prompt_cache": PROMPT_CACHE,
+}
 
 # Feeds.
 DAILY_FEED = "date date, order_count bigint"

@@ -17,6 +17,11 @@ def scan_parquet(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet")
 
 
+def scan_table(spark: SparkSession, directory: str, table: str) -> DataFrame:
+    """A canonical table under its declared schema; columns the files lack are null."""
+    return spark.read.schema(schemas.TABLES[table]).parquet(f"{directory.rstrip('/')}/{table}")
+
+
 def scan_jdbc(
     spark: SparkSession,
     url: str,

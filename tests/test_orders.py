@@ -124,3 +124,8 @@ def test_hot_vendor_keeps_every_row(spark):
     assert revenue.agg({"total_orders": "sum"}).first()[0] == 30000
     counts = orders.product_daily_counts(headers, items, menu, DAY)
     assert counts.agg({"order_count": "sum"}).first()[0] == 30000
+
+
+def test_unknown_statuses(spark, rows):
+    df = spark.createDataFrame([("new",), ("cancelled",), ("cancelled",), (None,)], "status string")
+    assert rows(orders.unknown_statuses(df)) == [("cancelled", 2)]

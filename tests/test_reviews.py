@@ -12,26 +12,29 @@ def comments(spark, *rows):
     return spark.createDataFrame([(i, 1, item, f"{n}/5", text, DAY) for i, (item, n, text) in enumerate(rows)], COMMENTS)
 
 
+def signals(spark, *rows):
+    return reviews.comment_signals(comments(spark, *rows))
+
+
 @pytest.mark.parametrize(
-    "rating, text, score", [(5, "great food", 72.8), (1, "", 9.8), (1, None, 9.8), (3, "not good", 44.4), (5, "chocolate", 60.2 + 0.0)]
+    "rating, text, score", [(5, "great food", 72.8), (1, "", 9.8), (1, None, 9.8), (3, "not good", 44.4), (5, "chocolate", 55.2)]
 )
 def test_sentiment_score(spark, rating, text, score):
-    found = reviews.sentiment_score(comments(spark, ("a", rating, text))).first()["sentiment_score"]
-    if text == "chocolate":  # contains 'late': 0.7·(70 − 4) + 0.3·30
-        score = 55.2
+    found = reviews.sentiment_score(signals(spark, ("a", rating, text))).first()["sentiment_score"]
+    # 'chocolate' contains 'late': 0.7·(70 − 4) + 0.3·30
     assert found == pytest.approx(score)
 
 
 def test_ratings_out_of_range_are_counted(spark):
-    found = reviews.sentiment_score(comments(spark, ("a", 5, ""), ("a", 9, ""))).first()
+    found = reviews.sentiment_score(signals(spark, ("a", 5, ""), ("a", 9, ""))).first()
     assert (found["scored_reviews"], found["excluded_reviews"]) == (1, 1)
 
 
 def test_delivery_share_must_exceed_the_threshold(spark):
     ten = [("a", 5, "delivery ok")] * 7 + [("a", 1, "delivery")] * 3
-    found = reviews.delivery_sentiment(comments(spark, *ten)).first()
+    found = reviews.delivery_sentiment(signals(spark, *ten)).first()
     assert (found["sentiment"], found["negative_review_percentage"]) == ("positive", 30.0)
-    found = reviews.delivery_sentiment(comments(spark, ("a", 1, "tasty"))).first()
+    found = reviews.delivery_sentiment(signals(spark, ("a", 1, "tasty"))).first()
     assert (found["sentiment"], found["negative_review_percentage"]) == ("neutral", 0.0)
 
 
@@ -79,3 +82,28 @@ def test_best_and_worst_item(spark):
     rated = comments(spark, ("a", 5, ""), ("b", 5, ""), ("b", 4, ""), ("c", 1, ""), ("c", 5, ""))
     found = reviews.best_worst_item(reviews.item_review_ratios(rated)).first()
     assert (found["best_item"], found["worst_item"]) == ("b", "c")
+
+
+def test_long_word_lists_take_several_columns(spark):
+    words = tuple(f"w{i}x" for i in range(150))
+    rated = comments(spark, ("a", 4, "W3x w70x w149x"), ("a", 4, None))
+    found = reviews.comment_signals(rated, words).select("commented", reviews.matches(words[60:], words).alias("n")).collect()
+    assert [(r["commented"], r["n"]) for r in found] == [(True, 2), (False, 0)]
+    with pytest.raises(ValueError, match="words without a bit"):
+        reviews.matches(["other"], words)
+
+
+def test_signals_equal_those_of_the_assembled_comments(spark, rows):
+    """The short way, bits per segment, agrees with searching the whole comment."""
+    texts = ["Good. Not", "good and LATE", "", None, "late delivery", "packed. Bad", "price"]
+    review = spark.createDataFrame(
+        [(i, 1, 1 + i % 5, "order", dt.datetime(2025, 1, 2), DAY, "a") for i in range(40)],
+        "id bigint, vendor_id bigint, rating int, reference string, created_at timestamp, order_created_date date, order_items string",
+    )
+    answers = [(i * 10 + j, i, j % 3, texts[(i * 3 + j * j) % len(texts)]) for i in range(35) for j in range(i % 4)]
+    responses = spark.createDataFrame(answers, "id bigint, review_id bigint, review_option_id bigint, value string")
+    options = spark.createDataFrame([(0, "text", "q"), (1, "text", "q"), (2, "star", "q")], "id bigint, type string, question string")
+    short = reviews.review_signals(review, responses, options, DAY)
+    long = reviews.comment_signals(reviews.review_comments(review, responses, options, DAY))
+    assert rows(short.select(*long.columns)) == rows(long)
+    assert short.filter("commented").count() > 10

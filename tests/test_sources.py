@@ -96,3 +96,9 @@ def test_daily_aggregates_are_partitioned_by_month(spark, tmp_path):
     january = spark.read.parquet(str(tmp_path / "daily")).filter("month = '2025-01'")
     assert january.count() == 1
     assert "PartitionFilters: [isnotnull(month" in january._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_read_under_their_schema(spark, tmp_path):
+    spark.createDataFrame([(1, "old")], "id bigint, vendor_name string").write.parquet(str(tmp_path / "vendor"))
+    found = readers.scan_table(spark, str(tmp_path), "vendor").first()
+    assert (found["vendor_name"], found["active"]) == ("old", None)

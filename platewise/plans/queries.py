@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from platewise import schemas
 from platewise.adapters import DriverTables
-from platewise.functions import text
+from platewise.functions import lexicons, text
 from platewise.operators import inference, ingredients, menu, orders, reviews, sessions, timeseries, vectors, vendors
 from platewise.plans.context import vendor_context
 from platewise.session import scratch_path, tune
@@ -381,17 +381,19 @@ def sentiment_breakdown(t: DriverTables) -> DataFrame:
 
 @query
 def price_complaints(t: DriverTables) -> DataFrame:
-    return reviews.price_complaints(_signals(t))
+    return reviews.price_complaints(_signals(t, lexicons.PRICE_WORDS), words=lexicons.PRICE_WORDS)
 
 
 @query
 def sentiment_score(t: DriverTables) -> DataFrame:
-    return reviews.sentiment_score(_signals(t))
+    words = lexicons.POSITIVE_WORDS + lexicons.NEGATIVE_WORDS
+    return reviews.sentiment_score(_signals(t, words), words=words)
 
 
 @query
 def delivery_sentiment(t: DriverTables) -> DataFrame:
-    return reviews.delivery_sentiment(_signals(t))
+    words = reviews.DELIVERY_RULE_WORDS
+    return reviews.delivery_sentiment(_signals(t, words), words=words)
 
 
 @query
@@ -698,8 +700,8 @@ def _comments(t: DriverTables) -> DataFrame:
     return reviews.review_comments(t.review, t.review_responses, t.review_options, t.as_of)
 
 
-def _signals(t: DriverTables) -> DataFrame:
-    return reviews.review_signals(t.review, t.review_responses, t.review_options, t.as_of)
+def _signals(t: DriverTables, words: tuple[str, ...]) -> DataFrame:
+    return reviews.review_signals(t.review, t.review_responses, t.review_options, t.as_of, words=words)
 
 
 def _daily(t: DriverTables) -> DataFrame:

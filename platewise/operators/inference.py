@@ -104,37 +104,70 @@ def prompt_cache(
     return keyed.join(known, "prompt_md5", "left"), answered.withColumn("created_at", F.lit(now))
 
 
+def _joined(line: str, order: str) -> Column:
+    return F.expr(f"listagg({line}, '\n') WITHIN GROUP (ORDER BY {order})")
+
+
+def _fill(template: str, **blocks: Column) -> Column:
+    """Template with every ``{name}`` replaced; a missing block leaves nothing behind."""
+    text = F.lit(template)
+    for name, block in blocks.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(block, F.lit("")))
+    return text
+
+
 def render_prompt(
-    history: DataFrame,
-    schedules_by_day: DataFrame,
     template: str,
     vendor: DataFrame,
+    history: DataFrame,
+    schedules_by_day: DataFrame,
+    holidays: DataFrame,
+    places: DataFrame,
 ) -> DataFrame:
-    """One prompt per vendor: its daily history and its schedule in a template.
+    """One prompt per vendor from a template with {history}, {schedule}, {holidays} and {location}.
 
-    ``template`` has the markers ``{history}`` and ``{schedule}``. History is one
-    line per day of the window and the schedule one per weekday, so the joined
-    text is bounded.
+    History is one line per day of the window, the schedule one per weekday and
+    the calendar one per holiday, so the joined text is bounded.
     """
     past = history.groupBy("vendor_id").agg(
-        F.expr(
-            "listagg(concat(cast(created_date AS string), ': ', cast(order_count AS string)), '\n') "
-            "WITHIN GROUP (ORDER BY created_date)"
-        ).alias("history")
+        _joined("concat(cast(created_date AS string), ': ', cast(order_count AS string))", "created_date").alias("history")
     )
     week = schedules_by_day.groupBy("vendor_id").agg(
-        F.expr(
-            "listagg(concat(day_of_week, ': ', cast(schedules AS string)), '\n') WITHIN GROUP (ORDER BY day_order)"
-        ).alias("schedule")
+        _joined("concat(day_of_week, ': ', cast(schedules AS string))", "day_order").alias("schedule")
+    )
+    calendar = holidays.agg(
+        _joined("concat_ws(', ', cast(date AS string), holiday, region, cast(weightage AS string))", "struct(date, holiday)")
+    ).scalar()
+    filled = _fill(
+        template,
+        history=F.col("history"),
+        schedule=F.col("schedule"),
+        holidays=calendar,
+        location=F.col("location_text"),
     )
-    text = F.lit(template)
-    for name in ("history", "schedule"):
-        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.col(name), F.lit("")))
     return (
         vendor.select(F.col("id").alias("vendor_id"))
         .join(past, "vendor_id", "left")
         .join(week, "vendor_id", "left")
-        .select("vendor_id", text.alias("prompt"))
+        .join(places.select("vendor_id", "location_text"), "vendor_id", "left")
+        .select("vendor_id", filled.alias("prompt"))
+    )
+
+
+def render_feedback(template: str, comments: DataFrame, part_size: int = 200) -> DataFrame:
+    """Prompts per vendor and item from a template with {reviews}.
+
+    An item with many reviews gets several prompts of about ``part_size``
+    reviews each, so that no prompt or group is unbounded and no review is lost.
+    """
+    item = ["vendor_id", "order_items"]
+    parts = comments.groupBy(*item).agg(F.ceil(F.count("*") / part_size).alias("parts"))
+    return (
+        comments.join(parts, item)
+        .withColumn("part", F.pmod("review_id", "parts"))
+        .groupBy(*item, "part")
+        .agg(_joined("concat_ws(', ', rating, user_comment)", "struct(comment_date, review_id)").alias("reviews"))
+        .select(*item, "part", _fill(template, reviews=F.col("reviews")).alias("prompt"))
     )
 
 

@@ -256,6 +256,13 @@ STEPS = {
     "compared": """
       SELECT f.vendor_id, f.date, f.order_count AS predicted_count, coalesce(d.order_count, 0) AS actual_count
       FROM past_forecast f LEFT JOIN daily_all d ON d.vendor_id = f.vendor_id AND d.created_date = f.date""",
+    "geo": """
+      SELECT s_suppkey AS vendor_id, n_name AS city_name, r_name AS state_name,
+        CASE WHEN n_name IS NULL THEN '' ELSE 'City: ' || n_name || ', State: ' || r_name END AS location_text
+      FROM supplier LEFT JOIN (
+        SELECT s_suppkey AS k, min(near.n_nationkey) AS city FROM supplier JOIN nation home ON home.n_nationkey = s_nationkey
+        JOIN nation near ON near.n_regionkey = home.n_regionkey WHERE s_acctbal > 1000 AND near.n_nationkey > 4 GROUP BY s_suppkey) c ON c.k = s_suppkey
+      LEFT JOIN nation ON n_nationkey = c.city LEFT JOIN region ON r_regionkey = n_regionkey""",
     "hours": f"""
       SELECT s.vendor_id, s.location_id, {_day_name('s.dow')} AS day_of_week, s.start_time, s.end_time,
         'Site ' || n_name AS location_name, n_name AS company_name, n_name AS city, r_name AS state_name,
@@ -462,13 +469,7 @@ SELECTS = {
     "menu_ingredients": """
       SELECT m.vendor_id, m.id AS product_id, m.name AS product_name, l.ingredient, l.measurement_unit, l.measurement_value
       FROM listed_menu m JOIN recipe_lines l ON l.vendor_id = m.vendor_id AND l.menu_name = m.name""",
-    "vendor_geo": """
-      SELECT s_suppkey AS vendor_id, n_name AS city_name, r_name AS state_name,
-        CASE WHEN n_name IS NULL THEN '' ELSE 'City: ' || n_name || ', State: ' || r_name END AS location_text
-      FROM supplier LEFT JOIN (
-        SELECT s_suppkey AS k, min(near.n_nationkey) AS city FROM supplier JOIN nation home ON home.n_nationkey = s_nationkey
-        JOIN nation near ON near.n_regionkey = home.n_regionkey WHERE s_acctbal > 1000 AND near.n_nationkey > 4 GROUP BY s_suppkey) c ON c.k = s_suppkey
-      LEFT JOIN nation ON n_nationkey = c.city LEFT JOIN region ON r_regionkey = n_regionkey""",
+    "vendor_geo": "SELECT * FROM geo",
     "vendor_schedule_hours": "SELECT * FROM hours",
     "attach_product_id": """
       SELECT n.vendor_id, n.product_id, n.product_name, coalesce(m.id, -1) AS attached_id FROM next_day n
@@ -622,11 +623,17 @@ SELECTS = {
       FROM part GROUP BY p_name""",
     "llm_batch": "SELECT conv_id, turn, length(text) || ' characters' AS completion FROM conversations",
     "render_prompt": """
-      SELECT s_suppkey AS vendor_id, 'Vendor schedule:' || chr(10) || coalesce(s.schedule, '') || chr(10) || 'Historical data:' || chr(10)
+      SELECT s_suppkey AS vendor_id, 'Holidays:' || chr(10)
+        || (SELECT string_agg(concat_ws(', ', CAST(date AS varchar), holiday, region, CAST(weightage AS varchar)), chr(10) ORDER BY date, holiday) FROM holidays)
+        || chr(10) || g.location_text || chr(10) || 'Vendor schedule:' || chr(10) || coalesce(s.schedule, '') || chr(10) || 'Historical data:' || chr(10)
         || coalesce(d.history, '') || chr(10) || 'Predict the next 14 days.' AS prompt
-      FROM supplier
+      FROM supplier JOIN geo g ON g.vendor_id = s_suppkey
       LEFT JOIN (SELECT vendor_id, string_agg(created_date || ': ' || order_count, chr(10) ORDER BY created_date) AS history FROM daily GROUP BY vendor_id) d ON d.vendor_id = s_suppkey
       LEFT JOIN (SELECT vendor_id, string_agg(day_of_week || ': ' || schedules, chr(10) ORDER BY day_order) AS schedule FROM week_days GROUP BY vendor_id) s ON s.vendor_id = s_suppkey""",
+    "render_feedback": """
+      SELECT vendor_id, order_items, review_id % CAST(ceil(n / 200) AS bigint) AS part, 'Rating, comment:' || chr(10)
+        || string_agg(rating || ', ' || user_comment, chr(10) ORDER BY comment_date, review_id) || chr(10) || 'Summarise the feedback in three points.' AS prompt
+      FROM (SELECT *, count(*) OVER (PARTITION BY vendor_id, order_items) AS n FROM comments) GROUP BY ALL""",
     "prompt_cache": """
       SELECT conv_id, turn, md5(text) AS prompt_md5, CASE WHEN newest * 60 < 7200 THEN 'stored ' || md5(text) ELSE left(md5(text), 8) END AS response,
         newest * 60 < 7200 AS cache_hit

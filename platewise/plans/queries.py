@@ -28,7 +28,10 @@ AMBIGUOUS_WORD = "anvil"
 EXCLUDED = ("P",)
 HORIZON = 14
 BACKTEST_DAYS = 23
-TEMPLATE = "Vendor schedule:\n{schedule}\nHistorical data:\n{history}\nPredict the next 14 days."
+TEMPLATE = (
+    "Holidays:\n{holidays}\n{location}\nVendor schedule:\n{schedule}\nHistorical data:\n{history}\nPredict the next 14 days."
+)
+FEEDBACK_TEMPLATE = "Rating, comment:\n{reviews}\nSummarise the feedback in three points."
 CACHE_EPOCH = dt.datetime(2024, 1, 1)
 
 
@@ -646,6 +649,11 @@ def render_prompt(t: DriverTables) -> DataFrame:
     return _prompts(t)
 
 
+@query
+def render_feedback(t: DriverTables) -> DataFrame:
+    return inference.render_feedback(FEEDBACK_TEMPLATE, _comments(t))
+
+
 @query
 def prompt_cache(t: DriverTables) -> DataFrame:
     asked = t.raw("conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
@@ -787,4 +795,6 @@ def _predictions(t: DriverTables) -> DataFrame:
 
 
 def _prompts(t: DriverTables) -> DataFrame:
-    return inference.render_prompt(_daily(t), vendors.schedule_by_day(t.vendor_schedules), TEMPLATE, t.vendor)
+    places = vendors.vendor_geo(t.vendor, t.vendor_location, t.location, t.addresses, t.states, t.cities)
+    week = vendors.schedule_by_day(t.vendor_schedules)
+    return inference.render_prompt(TEMPLATE, t.vendor, _daily(t), week, t.holidays, places)

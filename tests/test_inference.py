@@ -113,3 +113,13 @@ def test_long_sessions_lose_their_history(spark):
 def test_schedule_questions(spark):
     asked = spark.createDataFrame([("What is my SCHEDULE?",), ("Sales?",)], "text string")
     assert [r["needs_schedule"] for r in sessions.question_routing(asked).collect()] == [True, False]
+
+
+def test_feedback_prompts_are_split_and_whole(spark):
+    rated = [(i, 1, "Dosa", "4/5", f"c{i}", dt.date(2025, 1, 1)) for i in range(25)]
+    comments = spark.createDataFrame(
+        rated, "review_id bigint, vendor_id bigint, order_items string, rating string, user_comment string, comment_date date"
+    )
+    found = inference.render_feedback("Reviews:\n{reviews}\nEnd", comments, part_size=10).collect()
+    lines = [line for r in found for line in r["prompt"].split("\n")[1:-1]]
+    assert len(found) == 3 and sorted(lines) == sorted(f"4/5, c{i}" for i in range(25))

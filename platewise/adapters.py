@@ -16,6 +16,24 @@ from platewise.sources.readers import scan_parquet
 # the driver's orders lie in other years.
 HOLIDAY_OFFSETS = (-75, -40, -12, 3, 6, 10, 17, 25)
 
+# Schemas of the driver's tables; declaring them saves a job per read that infers them.
+RAW_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 # Wording of the checkbox option by document language.
 QUESTIONS = {
     "en": "Fresh food and good delivery",
@@ -31,9 +49,13 @@ class DriverTables:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
+        self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return scan_parquet(self.spark, self.directory, name)
+        """A driver table; its files are listed once however many operators read it."""
+        if name not in self._read:
+            self._read[name] = scan_parquet(self.spark, self.directory, name, RAW_TABLES[name])
+        return self._read[name]
 
     @cached_property
     def as_of(self) -> dt.date:
@@ -45,7 +67,7 @@ class DriverTables:
 
     # --- orders -------------------------------------------------------------
 
-    @property
+    @cached_property
     def order_headers(self) -> DataFrame:
         return self.raw("orders").select(
             F.col("o_orderkey").alias("id"),
@@ -54,7 +76,7 @@ class DriverTables:
             F.to_date("o_orderdate").alias("created_date"),
         )
 
-    @property
+    @cached_property
     def order_items(self) -> DataFrame:
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
@@ -64,7 +86,7 @@ class DriverTables:
             F.col("l_extendedprice").alias("price"),
         )
 
-    @property
+    @cached_property
     def sales_order(self) -> DataFrame:
         """An order once per vendor it holds items of; key (id, vendor_id)."""
         sellers = self.raw("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("vendor_id"))
@@ -72,14 +94,14 @@ class DriverTables:
 
     # --- menus and vendors --------------------------------------------------
 
-    @property
+    @cached_property
     def menu(self) -> DataFrame:
         """Products by id."""
         return self.raw("part").select(
             F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")
         )
 
-    @property
+    @cached_property
     def vendor_menu(self) -> DataFrame:
         listed = self.raw("lineitem").select(F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("id")).distinct()
         product = self.raw("part").select(
@@ -93,7 +115,7 @@ class DriverTables:
         )
         return listed.join(product, "id")
 
-    @property
+    @cached_property
     def vendor(self) -> DataFrame:
         return self.raw("supplier").select(
             F.col("s_suppkey").alias("id"),
@@ -103,17 +125,19 @@ class DriverTables:
             (F.col("s_acctbal") > 0).cast("int").alias("active"),
         )
 
-    @property
+    @cached_property
     def company(self) -> DataFrame:
         return self.raw("nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
 
-    cities = company
-
     @property
+    def cities(self) -> DataFrame:
+        return self.company
+
+    @cached_property
     def states(self) -> DataFrame:
         return self.raw("region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"))
 
-    @property
+    @cached_property
     def addresses(self) -> DataFrame:
         return self.raw("nation").select(
             F.col("n_nationkey").cast("bigint").alias("id"),
@@ -121,7 +145,7 @@ class DriverTables:
             F.col("n_nationkey").cast("bigint").alias("city_id"),
         )
 
-    @property
+    @cached_property
     def location(self) -> DataFrame:
         key = F.col("n_nationkey").cast("bigint")
         return self.raw("nation").select(
@@ -132,7 +156,7 @@ class DriverTables:
             (F.col("n_nationkey") > 4).cast("int").alias("active"),
         )
 
-    @property
+    @cached_property
     def vendor_location(self) -> DataFrame:
         """A vendor serves the nations of its own region."""
         nation = self.raw("nation")
@@ -145,7 +169,7 @@ class DriverTables:
             .select(F.col("s_suppkey").alias("vendor_id"), "location_id", (F.col("s_acctbal") > 1000).cast("int").alias("active"))
         )
 
-    @property
+    @cached_property
     def vendor_schedules(self) -> DataFrame:
         """Per vendor, weekday and line status; days with many returns are not active."""
         hour = lambda h: F.format_string("%02d:00", h)
@@ -170,7 +194,7 @@ class DriverTables:
             hour(F.col("low") + 6).alias("start_time"), hour(F.col("high") + 12).alias("end_time"), "active",
         )
 
-    @property
+    @cached_property
     def image_mappings(self) -> DataFrame:
         """Small products have image a, middling ones image b, some both, large ones none."""
         size = F.col("p_size")
@@ -185,14 +209,14 @@ class DriverTables:
             F.explode(files).alias("file_name"),
         )
 
-    @property
+    @cached_property
     def holidays(self) -> DataFrame:
         return holiday_calendar(
             self.spark,
             [(self.as_of + dt.timedelta(days=d), *rest) for d, (_, *rest) in zip(HOLIDAY_OFFSETS, HOLIDAYS)],
         )
 
-    @property
+    @cached_property
     def ingredients_data(self) -> DataFrame:
         """Two ingredients per menu name and vendor; none for promotional products."""
         entry = lambda name, unit, value: F.struct(
@@ -209,7 +233,7 @@ class DriverTables:
 
     # --- reviews ------------------------------------------------------------
 
-    @property
+    @cached_property
     def review(self) -> DataFrame:
         doc = self.raw("documents")
         day = F.date_sub(F.lit(self.as_of), (F.col("doc_id") % 120).cast("int"))
@@ -227,7 +251,7 @@ class DriverTables:
             .drop("p_partkey")
         )
 
-    @property
+    @cached_property
     def review_options(self) -> DataFrame:
         """Three options per review: its text, a checkbox and a star row."""
         wording = F.lit(QUESTION_ELSE)
@@ -240,7 +264,7 @@ class DriverTables:
             .select((F.col("doc_id") * 3 + F.col("i")).alias("id"), "type", wording.alias("question"))
         )
 
-    @property
+    @cached_property
     def review_responses(self) -> DataFrame:
         """Every line of a document answers the text option; two more rows answer the others."""
         answer = lambda value, option: F.struct(value.alias("value"), F.lit(option).alias("option"))
@@ -260,7 +284,7 @@ class DriverTables:
 
     # --- feeds and menu names -----------------------------------------------
 
-    @property
+    @cached_property
     def order_feed(self) -> DataFrame:
         date = F.to_date("l_shipdate")
         return self.raw("lineitem").select(
@@ -276,7 +300,7 @@ class DriverTables:
             F.col("l_orderkey").alias("employee_id"),
         )
 
-    @property
+    @cached_property
     def review_feed(self) -> DataFrame:
         """One product id per row, two in English, some of them unknown."""
         parts = self._size("part")
@@ -295,7 +319,7 @@ class DriverTables:
             F.date_sub(F.lit(self.as_of), (F.col("doc_id") % 120).cast("int")).alias("date"),
         )
 
-    @property
+    @cached_property
     def menu_names(self) -> DataFrame:
         """Free-form names with brand, size words, quantities, prices, and one or two components."""
         size, price = F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string")
@@ -308,14 +332,14 @@ class DriverTables:
         )
         return self.raw("part").select(F.col("p_partkey").alias("id"), name.alias("name"))
 
-    @property
+    @cached_property
     def root_items(self) -> DataFrame:
         """Catalogue: a vector and the product name of the same number."""
         return self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding").join(
             self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id"
         )
 
-    @property
+    @cached_property
     def menu_items(self) -> DataFrame:
         """Items to resolve: a free-form name with a vector."""
         return self.menu_names.join(self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")

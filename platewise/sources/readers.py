@@ -13,8 +13,8 @@ from platewise import schemas
 FETCH_SIZE = 1000
 
 
-def scan_parquet(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet")
+def scan_parquet(spark: SparkSession, directory: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{directory.rstrip('/')}/{table}.parquet")
 
 
 def scan_table(spark: SparkSession, directory: str, table: str) -> DataFrame:

@@ -43,15 +43,19 @@ def predictions_with_ingredients(forecast: DataFrame, ingredients_data: DataFram
     """Forecast totals per (vendor, product name) beside each of its ingredients; unknown products are skipped.
 
     The horizon is summed before the list is exploded, so a product contributes
-    one row per ingredient and not one per day, and only lists of forecast
-    products are parsed.
+    one row per ingredient and not one per day. The newest list is picked after
+    the join, which shares its keys, so only lists of forecast products are
+    compared and parsed.
     """
     seen = F.struct("date", "product_id")
     totals = forecast.groupBy("vendor_id", "product_name").agg(
         F.sum("order_count").alias("order_count"), F.min(seen).alias("first_seen")
     )
+    lists = ingredients_data.select("vendor_id", F.col("menu_name").alias("product_name"), "id", "ingredients")
     return (
-        totals.join(latest_ingredients(ingredients_data), ["vendor_id", "product_name"])
+        totals.join(lists, ["vendor_id", "product_name"])
+        .groupBy(*totals.columns)
+        .agg(F.max_by("ingredients", "id").alias("ingredients"))
         .select("vendor_id", "product_name", "order_count", "first_seen", F.posexplode(parsed()).alias("position", "i"))
         .select(
             "vendor_id",

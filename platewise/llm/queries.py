@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import exact, mixing
+from platewise.llm import bpe, exact, mixing
 from platewise.llm.common import documents
 
 
@@ -16,5 +16,9 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
-REGISTRY = {"op3_mixing": op3_mixing, "op5_exact": op5_exact}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
+REGISTRY = {"op3_mixing": op3_mixing, "op5_exact": op5_exact, "op7_bpe": op7_bpe}
 SQL = {"op5_exact": exact.OP5_SQL}

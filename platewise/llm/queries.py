@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import bpe, exact, mixing
+from platewise.llm import bpe, exact, licenses, mixing
 from platewise.llm.common import documents
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detections(documents(spark, sf_dir)).drop("spans")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -20,5 +24,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
-REGISTRY = {"op3_mixing": op3_mixing, "op5_exact": op5_exact, "op7_bpe": op7_bpe}
+REGISTRY = {"op1_licenses": op1_licenses, "op3_mixing": op3_mixing, "op5_exact": op5_exact, "op7_bpe": op7_bpe}
 SQL = {"op5_exact": exact.OP5_SQL}

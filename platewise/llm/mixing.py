@@ -120,12 +120,9 @@ def drawn(per: DataFrame, block_words: int, seed: int) -> DataFrame:
             counts += np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum() if rest.sum() > 0 else share / share.sum())
         return pd.DataFrame({"shard": shard, "rank": pdf["rank"], "n": counts})
 
-    shards = sources.select(F.max("shards").alias("n"), F.max("all").alias("all")).where("n > 0")
-    shards = shards.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shard"), "all")
     size = F.least(F.lit(SHARD_BLOCKS), F.col("all") - F.col("shard") * SHARD_BLOCKS)
-    per_shard = shards.select("shard", size.alias("size"), F.lit(1).alias("one")).join(
-        sources.select("rank", "p", F.lit(1).alias("one")), "one"
-    )
+    per_shard = sources.select("rank", "p", "all", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"))
+    per_shard = per_shard.select("shard", "rank", "p", size.alias("size"))
     counts = per_shard.groupBy("shard").applyInPandas(multinomial, "shard long, rank int, n long")
     # Numbering slots of a source through the shards: first within runs of shards, then over the runs.
     counts = counts.withColumn("run", F.expr("shard div 512"))

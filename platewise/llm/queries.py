@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import bpe, exact, licenses, mixing
-from platewise.llm.common import documents
+from platewise.llm import bpe, exact, licenses, mixing, toxicity
+from platewise.llm.common import documents, labels
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +24,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
-REGISTRY = {"op1_licenses": op1_licenses, "op3_mixing": op3_mixing, "op5_exact": op5_exact, "op7_bpe": op7_bpe}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir)).drop("evidence")
+
+
+REGISTRY = {"op1_licenses": op1_licenses, "op3_mixing": op3_mixing, "op5_exact": op5_exact, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
 SQL = {"op5_exact": exact.OP5_SQL}

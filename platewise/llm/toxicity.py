@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples.
 
-A text's terms are its lower-cased words and their first four and five bytes. The
-terms that mark toxic examples best form the feature space. Labelled examples stand
+A text's terms are its lower-cased words and their first three to eight bytes, each
+once more if it occurs at least twice, and again if at least four times. The terms
+that mark toxic examples best form the feature space. Labelled examples stand
 in a block-max inverted index over that space; each text gets its exact nearest
 examples by TF-IDF cosine, which vote by similarity.
 
@@ -28,14 +29,16 @@ from pyspark.sql import functions as F
 from platewise.llm.common import LOWER, flat, plain, prefix_hash, signed, slices, span_hash, stored, word_spans
 
 THRESHOLD = 0.3
+# Least log-likelihood ratio of a feature: among some hundred thousand terms, few reach it by chance.
+SURE = 20.0
 
 
 @dataclass(frozen=True)
 class Limits:
     """Bounds of what is fitted: examples of each label, features, and neighbours that vote."""
 
-    toxic: int = 4000
-    clean: int = 8000
+    toxic: int = 3000
+    clean: int = 5000
     features: int = 512
     neighbours: int = 15
     block: int = 64
@@ -45,8 +48,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of a batch, and the row of each."""
+PREFIXES = range(3, 9)
+# A term that occurs so often in a text is a term of its own, told apart by its salt.
+OFTEN = {2: np.int64(0x51ED2701A3B9C64F), 4: np.int64(0x2C4A96B1D7F0E853)}
+
+
+def _occurrences(column: pa.Array, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of each distinct term of each text; only of terms whose low bits are in `near`, if given."""
     inside = np.zeros(256, bool)
     inside[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
     data, offsets = flat(column)
@@ -54,48 +62,58 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     running = prefix_hash(data)
     starts, ends, upto = word_spans(data, offsets, inside[data])
     rows = np.repeat(np.arange(len(column)), np.diff(upto))
-    hashes = [span_hash(running, starts, ends)]
-    where = [rows]
-    for n in (4, 5):  # a prefix is told from a word by its salt
+    hashes, where = [], []
+    for n in (0, *PREFIXES):  # 0 is the whole word; a prefix is told from a word by its salt
         long = np.flatnonzero(ends - starts > n)
-        hashes.append(span_hash(running, starts[long], starts[long] + n) ^ np.uint64(n))
+        found = signed(span_hash(running, starts[long], starts[long] + n if n else ends[long]) ^ np.uint64(n))
+        if near is not None:
+            keep = near[found & 0xFFFF]
+            long, found = long[keep], found[keep]
+        hashes.append(found)
         where.append(rows[long])
-    return signed(np.concatenate(hashes)), np.concatenate(where)
+    hashes, rows = np.concatenate(hashes), np.concatenate(where)
+    order = np.lexsort([hashes, rows])
+    hashes, rows = hashes[order], rows[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    at = np.flatnonzero(first)
+    return rows[at], hashes[at], np.diff(np.append(at, len(rows)))
 
 
 def _distinct_terms(batches):
     for batch in slices(batches):
-        hashes, rows = _terms(batch.column("text"))
-        order = np.lexsort([hashes, rows])
-        hashes, rows = hashes[order], rows[order]
-        first = np.ones(len(rows), bool)
-        first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-        upto = np.searchsorted(rows[first], np.arange(batch.num_rows + 1))
-        made = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(hashes[first]))
+        rows, hashes, counts = _occurrences(batch.column("text"))
+        more = [(rows, hashes)] + [(rows[counts >= n], hashes[counts >= n] ^ salt) for n, salt in OFTEN.items()]
+        rows, hashes = np.concatenate([r for r, _ in more]), np.concatenate([h for _, h in more])
+        order = np.argsort(rows, kind="stable")
+        upto = np.searchsorted(rows[order], np.arange(batch.num_rows + 1))
+        made = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(hashes[order]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), made], ["doc_id", "toxic", "terms"])
 
 
 def _counted(features: np.ndarray):
     """Positions and counts of the features in each text; features are sorted hashes."""
     near = np.zeros(1 << 16, bool)
-    near[features & 0xFFFF] = True
+    for salt in (np.int64(0), *OFTEN.values()):
+        near[(features ^ salt) & 0xFFFF] = True
 
     def run(batches):
         for batch in slices(batches):
-            hashes, rows = _terms(batch.column("text"))
-            likely = near[hashes & 0xFFFF]
-            hashes, rows = hashes[likely], rows[likely]
-            at = np.searchsorted(features, hashes)
-            at[at == len(features)] = 0
-            hit = features[at] == hashes if len(features) else np.zeros(len(at), bool)
-            key, counts = np.unique(rows[hit] * len(features) + at[hit], return_counts=True)
-            rows, at = np.divmod(key, max(1, len(features)))
-            upto = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)), pa.int32())
+            rows, hashes, counts = _occurrences(batch.column("text"), near)
+            found = []
+            for n, salt in {1: np.int64(0), **OFTEN}.items():
+                at = np.searchsorted(features, hashes ^ salt)
+                at[at == len(features)] = 0
+                hit = (counts >= n) & (features[at] == hashes ^ salt) if len(features) else np.zeros(len(at), bool)
+                found.append(np.stack([rows[hit], at[hit], counts[hit] // n]))
+            rows, at, counts = np.concatenate(found, axis=1)
+            order = np.lexsort([at, rows])
+            upto = pa.array(np.searchsorted(rows[order], np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.ListArray.from_arrays(upto, pa.array(at.astype(np.int32))),
-                    pa.ListArray.from_arrays(upto, pa.array(counts.astype(np.int32))),
+                    pa.ListArray.from_arrays(upto, pa.array(at[order].astype(np.int32))),
+                    pa.ListArray.from_arrays(upto, pa.array(counts[order].astype(np.int32))),
                 ],
                 ["doc_id", "at", "counts"],
             )
@@ -103,6 +121,14 @@ def _counted(features: np.ndarray):
     return run
 
 
+def _surprise(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Log-likelihood ratio of a term's rows being shared a : b among n1 toxic and n0 clean rows; 0 for a clean mark."""
+    n, rows = max(1, n1 + n0), a + b
+    part = [(a, n1, rows), (b, n0, rows), (n1 - a, n1, n - rows), (n0 - b, n0, n - rows)]
+    terms = [F.when(x > 0, x * F.log(x * n / (F.lit(max(1, m)) * total))).otherwise(0.0) for x, m, total in part]
+    return F.when(a * n0 > b * n1, 2 * sum(terms[1:], terms[0])).otherwise(0.0)
+
+
 class Index:
     """Inverted lists of examples by feature, cut into blocks, with the largest weight of each block."""
 
@@ -166,10 +192,8 @@ def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     n1, n0 = sampled.get(1, 0), sampled.get(0, 0)
     count = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term")
     count = count.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    p = (F.col("a") + F.col("b")) / max(1, n1 + n0)
-    gap = F.col("a") / max(1, n1) - F.col("b") / max(1, n0)
-    z = gap / F.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    marks = count.where("a >= 3").select("term", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "term").limit(limits.features)
+    marks = count.select("term", _surprise(F.col("a"), F.col("b"), n1, n0).alias("g"))
+    marks = marks.where(F.col("g") >= SURE).orderBy(F.desc("g"), "term").limit(limits.features)
     features = np.sort(np.asarray([r["term"] for r in marks.collect()], np.int64))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

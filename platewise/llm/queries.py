@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import bpe, exact, licenses, mixing, toxicity
-from platewise.llm.common import documents, labels
+from platewise.llm import ann, bpe, exact, licenses, lines, mixing, toxicity
+from platewise.llm.common import documents, labels, prepare
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,25 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir)).drop("evidence")
 
 
-REGISTRY = {"op1_licenses": op1_licenses, "op3_mixing": op3_mixing, "op5_exact": op5_exact, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+REGISTRY = {
+    "op1_licenses": op1_licenses,
+    "op3_mixing": op3_mixing,
+    "op5_exact": op5_exact,
+    "op7_bpe": op7_bpe,
+    "op8_lines": op8_lines,
+    "op9_toxicity": op9_toxicity,
+    "op10_ann": op10_ann,
+}
 SQL = {"op5_exact": exact.OP5_SQL}

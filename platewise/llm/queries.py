@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import ann, bpe, exact, licenses, lines, mixing, toxicity
+from platewise.llm import ann, bpe, exact, licenses, lines, mixing, suffixes, toxicity
 from platewise.llm.common import documents, labels, prepare
 
 
@@ -16,6 +16,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_licenses": op1_licenses,
     "op3_mixing": op3_mixing,
+    "op4_suffixes": op4_suffixes,
     "op5_exact": op5_exact,
     "op7_bpe": op7_bpe,
     "op8_lines": op8_lines,

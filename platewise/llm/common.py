@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,33 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+# ---- compact columns ----------------------------------------------------------
+
+
+def packed(parts: list[np.ndarray], pack: zstandard.ZstdCompressor) -> bytes:
+    """Arrays of unsigned 32-bit numbers as one blob, byte planes apart, which compresses well."""
+    planes = [p.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts]
+    return np.asarray([len(parts), *map(len, parts)], "<u4").tobytes() + pack.compress(b"".join(planes))
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    sizes = np.frombuffer(blob, "<u4", n, 4).astype(np.int64)
+    data, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 4 * n :]), np.uint8), 0, []
+    for size in sizes:
+        out.append(np.ascontiguousarray(data[at : at + 4 * size].reshape(4, -1).T).view("<u4").ravel())
+        at += 4 * size
+    return out
+
+
+def gathered(values: np.ndarray, edges: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries' values one after another in the order `at`, and where each one ends."""
+    length = np.diff(edges)[at]
+    ends = np.cumsum(length)
+    index = np.repeat(edges[:-1][at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+    return values[index], ends
+
+
 # ---- hashing -----------------------------------------------------------------
 
 _U = np.uint64

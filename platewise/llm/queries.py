@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import ann, bpe, exact, licenses, lines, mixing, suffixes, toxicity
+from platewise.llm import ann, bpe, exact, jaccard, licenses, lines, mixing, suffixes, toxicity
 from platewise.llm.common import documents, labels, prepare
 
 
@@ -12,6 +12,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detections(documents(spark, sf_dir)).drop("spans")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_groups(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_licenses": op1_licenses,
+    "op2_jaccard": op2_jaccard,
     "op3_mixing": op3_mixing,
     "op4_suffixes": op4_suffixes,
     "op5_exact": op5_exact,
@@ -50,4 +55,4 @@ REGISTRY = {
     "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
 }
-SQL = {"op5_exact": exact.OP5_SQL}
+SQL = {"op2_jaccard": jaccard.OP2_SQL, "op5_exact": exact.OP5_SQL}

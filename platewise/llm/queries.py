@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import ann, bpe, exact, jaccard, licenses, lines, mixing, suffixes, toxicity
+from platewise.llm import ann, bpe, exact, jaccard, licenses, lines, mixing, passages, suffixes, toxicity
 from platewise.llm.common import documents, labels, prepare
 
 
@@ -28,6 +28,10 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_report(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ REGISTRY = {
     "op3_mixing": op3_mixing,
     "op4_suffixes": op4_suffixes,
     "op5_exact": op5_exact,
+    "op6_passages": op6_passages,
     "op7_bpe": op7_bpe,
     "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,

@@ -77,6 +77,14 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `limit` bytes of one column, or a single longer row."""
     for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import SPACE, flat, slices, stored, word_spans
+from platewise.llm.common import SPACE, flat, slices, spare, stored, word_spans
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -192,19 +192,20 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     """
     _, _, pieces = taken(docs, block_words, seed)
     lists = pieces.groupBy("doc_id", "place").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("pieces"))
-    keyed = docs.withColumn("place", F.xxhash64("doc_id", "text", F.lit(SEED)))
-    keyed = keyed.dropDuplicates(["doc_id", "place"])
-    rows = keyed.join(lists, same(keyed, lists, "doc_id", "place")).select(
-        *[keyed[c] for c in docs.columns], "pieces"
-    ).withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
-    rows = rows.withColumn("pieces", F.expr("array_sort(filter(pieces, p -> p.times >= turn))")).where(F.size("pieces") > 0)
+    key, many, turn, found = (spare(docs, c) for c in ("place", "pieces", "turn", "id"))
+    lists = lists.select(F.col("doc_id").alias(found), F.col("place").alias("at"), F.col("pieces").alias(many))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", F.lit(SEED))).dropDuplicates(["doc_id", key])
+    rows = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists[found]) & (keyed[key] == lists["at"]))
+    rows = rows.select(*[keyed[c] for c in docs.columns], many).withColumn(turn, F.explode(F.array(F.lit(1), F.lit(2))))
+    wanted = F.array_sort(F.filter(many, lambda p: p["times"] >= F.col(turn)))
+    rows = rows.withColumn(many, wanted).where(F.size(many) > 0)
 
     def cut(batches):
         for batch in slices(batches):
             data, offsets = flat(batch.column("text"))
             starts, ends, upto = word_spans(data, offsets, ~SPACE[data])
             texts = []
-            for i, pieces in enumerate(batch.column("pieces").to_pylist()):
+            for i, pieces in enumerate(batch.column(many).to_pylist()):
                 runs: list[list[int]] = []
                 for p in pieces:
                     if runs and runs[-1][1] == p["from_word"]:
@@ -218,7 +219,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
                     e = b if last == n else ends[upto[i] + last - 1]
                     out.append(data[s:e].tobytes().decode())
                 texts.append("\n".join(out))
-            columns = [c for c in batch.schema.names if c not in ("pieces", "turn")]
+            columns = [c for c in batch.schema.names if c not in (many, turn)]
             arrays = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 

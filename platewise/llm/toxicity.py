@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import LOWER, flat, plain, prefix_hash, signed, slices, span_hash, stored, word_spans
+from platewise.llm.common import LOWER, flat, gathered, plain, prefix_hash, signed, slices, span_hash, stored, word_spans
 
 THRESHOLD = 0.3
+# Blocks of the index that are visited first; each further round visits twice as many.
+VISIT = 16
 # Least log-likelihood ratio of a feature: among some hundred thousand terms, few reach it by chance.
 SURE = 20.0
 
@@ -147,26 +149,35 @@ class Index:
         self.ids, self.toxic, self.vote = ids[back], toxic[back], vote[back]
         self.block, self.blocks = block, -(-len(ids) // block)
         self.edge = np.searchsorted(feature * self.blocks + self.example // block, np.arange(features * self.blocks + 1))
+        self.posting = np.arange(len(self.example))
         self.most = np.zeros(features * self.blocks)
         np.maximum.at(self.most, feature * self.blocks + self.example // block, self.weight)
         self.most = self.most.reshape(features, self.blocks)
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, as (-cosine, place), ties to the smaller doc_id."""
+    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cosines and places of the k nearest examples of cosine above 0, ties to the smaller doc_id.
+
+        Blocks are visited by falling bound, in rounds, until no bound reaches the k-th cosine.
+        """
         weights = weights / np.sqrt((weights**2).sum())
         bound = weights @ self.most[at]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < -best[k - 1][0] - 1e-9):
-                break
-            score = np.zeros(self.block)
-            for f, w in zip(at, weights, strict=True):
-                a, e = self.edge[f * self.blocks + b], self.edge[f * self.blocks + b + 1]
-                score[self.example[a:e] - b * self.block] += w * self.weight[a:e]
-            hit = np.flatnonzero(score > 0)
-            found = [(-round(float(score[i]), 12), int(self.ids[b * self.block + i]), int(b * self.block + i)) for i in hit]
-            best = sorted(best + found)[: max(k, 1)]
-        return [(s, p) for s, _, p in best]
+        visit = np.argsort(-bound, kind="stable")
+        visit = visit[bound[visit] > 0]
+        score = np.zeros(len(self.ids))
+        done, step, kth = 0, VISIT, 0.0
+        while done < len(visit) and bound[visit[done]] >= kth - 1e-9:
+            blocks = visit[done : done + step]
+            done, step = done + step, 2 * step
+            first = (at[:, None] * self.blocks + blocks).ravel()
+            places, ends = gathered(self.posting, self.edge, first)
+            size = np.diff(ends, prepend=0)
+            score += np.bincount(self.example[places], np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[places], len(score))
+            if k < len(score):
+                kth = np.partition(score, len(score) - k)[len(score) - k]
+        score = np.round(score, 12)
+        near = np.flatnonzero(score >= max(round(kth, 12), 1e-12))
+        near = near[np.lexsort([self.ids[near], -score[near]])][:k]
+        return score[near], near
 
 
 def examples(docs: DataFrame, labels: DataFrame, limits: Limits) -> tuple[DataFrame, dict[int, int]]:
@@ -182,8 +193,11 @@ def examples(docs: DataFrame, labels: DataFrame, limits: Limits) -> tuple[DataFr
     return chosen.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), total
 
 
-def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence (neighbours with their cosine and label)."""
+def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), key: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, evidence (neighbours with their cosine and label).
+
+    With another `key` column the rows are named by that one, and held_out is left out.
+    """
     chosen, total = examples(docs, labels, limits)
     chosen = stored(chosen, "examples")
     terms = chosen.select("doc_id", "toxic", "text").mapInArrow(_distinct_terms, "doc_id bigint, toxic int, terms array<bigint>")
@@ -196,9 +210,10 @@ def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     marks = marks.where(F.col("g") >= SURE).orderBy(F.desc("g"), "term").limit(limits.features)
     features = np.sort(np.asarray([r["term"] for r in marks.collect()], np.int64))
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema[key].dataType.simpleString()
     form = f"doc_id {id_type}, at array<int>, counts array<int>"
-    vectors = stored(plain(docs).mapInArrow(_counted(features), form), "vectors")
+    texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    vectors = stored(texts.mapInArrow(_counted(features), form), "vectors")
     hits = vectors.select(F.explode("at").alias("f")).groupBy("f").count().collect()  # as many rows as features
     everything = vectors.count()
     df = np.zeros(len(features))
@@ -206,7 +221,7 @@ def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
         df[r["f"]] = r["count"]
     idf = np.log((1 + everything) / (1 + df)) + 1
 
-    known = chosen.select("doc_id", "toxic").join(chosen.select("doc_id", "text").mapInArrow(_counted(features), form), "doc_id")
+    known = chosen.select("doc_id", "toxic").join(chosen.select("doc_id", "text").mapInArrow(_counted(features), "doc_id bigint, at array<int>, counts array<int>"), "doc_id")
     known = known.where(F.size("at") > 0).orderBy("doc_id").collect()  # bounded by the limits
     index = None
     if known:
@@ -221,17 +236,21 @@ def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
 
     def run(batches):
         for batch in batches:
-            scores, evidence = [], []
+            scores, evidence, known = [], [], {}
             for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                near = []
-                if at and index is not None:
-                    f = np.asarray(at)
-                    near = index.nearest(f, (1 + np.log(np.asarray(counts, float))) * idf[f], limits.neighbours)
-                weight = [(-s) * index.vote[i] for s, i in near]
-                yes = sum(w for w, (_, i) in zip(weight, near, strict=True) if index.toxic[i])
-                # The share of toxic rows counts as half a neighbour of cosine 1.
-                scores.append((yes + 0.5 * prior) / (sum(weight) + 0.5) if near else prior)
-                evidence.append([{"doc_id": int(index.ids[i]), "cosine": -s, "toxic": int(index.toxic[i])} for s, i in near])
+                key = (*at, *counts)
+                if key not in known:
+                    known[key] = (prior, [])
+                    if at and index is not None:
+                        f = np.asarray(at)
+                        cosine, near = index.nearest(f, (1 + np.log(np.asarray(counts, float))) * idf[f], limits.neighbours)
+                        weight = cosine * index.vote[near]
+                        # The share of toxic rows counts as half a neighbour of cosine 1.
+                        score = (weight[index.toxic[near] == 1].sum() + 0.5 * prior) / (weight.sum() + 0.5) if len(near) else prior
+                        proof = zip(index.ids[near].tolist(), cosine.tolist(), index.toxic[near].tolist(), strict=True)
+                        known[key] = (float(score), [{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in proof])
+                scores.append(known[key][0])
+                evidence.append(known[key][1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, neighbours)], ["doc_id", "score", "evidence"]
             )
@@ -239,6 +258,7 @@ def scored(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     neighbours = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     form = f"doc_id {id_type}, score double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"
     found = vectors.mapInArrow(run, form)
-    return found.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence"
-    )
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    if key != "doc_id":
+        return found.select(F.col("doc_id").alias(key), "score", predicted, "evidence")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "evidence")

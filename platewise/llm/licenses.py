@@ -49,11 +49,11 @@ gpl-3.0 | gen | gnu~general~public~licen[cs]e,?~(?:version~|v\.?~?)3
 gpl | gpl | (?<![al])gpl(?:~?v?[123](?:\.0)?\+?)?~licen[cs]ed?
 gpl | gen | gnu~general~public~licen[cs]e
 lgpl-2.0 | gen | gnu~library~general~public~licen[cs]e
-lgpl-2.1 | gen | lesser~general~public~licen[cs]e,?~(?:version~|v\.?~?)2\.1
-lgpl-3.0 | gen | lesser~general~public~licen[cs]e,?~(?:version~|v\.?~?)3
+lgpl-2.1 | gen | (?:gnu~)?lesser~general~public~licen[cs]e,?~(?:version~|v\.?~?)2\.1
+lgpl-3.0 | gen | (?:gnu~)?lesser~general~public~licen[cs]e,?~(?:version~|v\.?~?)3
 lgpl | gen | (?:gnu~)?lesser~general~public~licen[cs]e
 lgpl | lgpl | lgpl(?:~?v?[23](?:\.[01])?\+?)?~licen[cs]ed?
-agpl-3.0 | gen | affero~general~public~licen[cs]e,?~(?:version~|v\.?~?)3
+agpl-3.0 | gen | (?:gnu~)?affero~general~public~licen[cs]e,?~(?:version~|v\.?~?)3
 agpl | gen | (?:gnu~)?affero~general~public~licen[cs]e
 agpl | agpl | agpl(?:~?v?[13](?:\.0)?\+?)?~licen[cs]ed?
 gfdl-1.1 | free~doc | gnu~free~documentation~licen[cs]e,?~(?:version~|v\.?~?)1\.1

@@ -28,6 +28,11 @@ BLOCK_WORDS, SHARD_BLOCKS, SEED = 128, 4096, 11
 BUCKETS = 1024
 
 
+def _place() -> Column:
+    """A number of a row; rows equal in doc_id, text and source share it."""
+    return F.xxhash64("doc_id", "text", F.col("source").isNull(), "source", F.lit(SEED))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, place: the words of each document; place orders equal keys."""
 
@@ -40,7 +45,7 @@ def sized(docs: DataFrame) -> DataFrame:
                 ["doc_id", "source", "size", "place"],
             )
 
-    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("place"))
+    rows = docs.select("doc_id", "source", "text", _place().alias("place"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {id_type}, source string, size bigint, place bigint")
 
@@ -194,7 +199,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     lists = pieces.groupBy("doc_id", "place").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("pieces"))
     key, many, turn, found = (spare(docs, c) for c in ("place", "pieces", "turn", "id"))
     lists = lists.select(F.col("doc_id").alias(found), F.col("place").alias("at"), F.col("pieces").alias(many))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", F.lit(SEED))).dropDuplicates(["doc_id", key])
+    keyed = docs.withColumn(key, _place()).dropDuplicates(["doc_id", key])
     rows = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists[found]) & (keyed[key] == lists["at"]))
     rows = rows.select(*[keyed[c] for c in docs.columns], many).withColumn(turn, F.explode(F.array(F.lit(1), F.lit(2))))
     wanted = F.array_sort(F.filter(many, lambda p: p["times"] >= F.col(turn)))

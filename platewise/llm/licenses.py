@@ -208,7 +208,7 @@ public-domain | public~domain | (?:in|into|to)~the~public~domain
 public-domain | public~domain | public~domain~(?:work|dedication|mark)
 cc | some~rights | some~rights~reserved
 reserved | rights | all~rights~reserved
-reserved | rights | alle~rechte~vorbehalten
+reserved | rechte | alle~rechte~vorbehalten
 reserved | derechos | todos~los~derechos~reservados
 reserved | droits | tous~droits~r.{1,2}serv.{1,2}s
 proprietary | proprietary | proprietary~and~confidential

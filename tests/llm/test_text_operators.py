@@ -97,7 +97,7 @@ def test_license_rules_resolve():
     assert scan("the MIT License and the BSD 3-Clause License") == ["mit", "bsd-3-clause"]
     assert scan("plain prose about licensing a car") == []
     for rule in made:  # a rule's keyword stands in all it matches, or the automaton would miss it
-        assert re.sub(r"\\", "", rule.keyword) in re.sub(r"\\", "", rule.pattern.replace("licen[cs]e", "license")) or rule.keyword.startswith("(")
+        assert re.sub(r"\\", "", rule.keyword) in re.sub(r"\\", "", rule.pattern.replace("licen[cs]e", "license")) or rule.keyword in ("(c)", "\xa9")
 
 
 def sets_of(rows, n):

@@ -341,5 +341,5 @@ class DriverTables:
 
     @cached_property
     def menu_items(self) -> DataFrame:
-        """Items to resolve: a free-form name with a vector."""
-        return self.menu_names.join(self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+        """Items to resolve: a free-form name, with a vector where there is one."""
+        return self.menu_names.join(self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")

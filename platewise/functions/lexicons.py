@@ -62,8 +62,19 @@ NOT_PACKAGED = (
 # Our own list; the rule only says that each item is flagged.
 NON_VEG_WORDS = (
     "non veg", "nonveg", "chicken", "murg", "mutton", "lamb", "keema", "egg", "fish", "prawn", "crab", "beef", "pork",
+    "tuna", "salmon", "shrimp", "lobster", "squid", "bacon", "ham", "sausage", "salami", "pepperoni", "turkey", "duck",
+    "meat", "seekh kebab", "kheema",
 )
 
+# Our own list: words that end the name of a dish, where a combo lists several without separators.
+DISH_WORDS = (
+    "manchurian", "noodle", "noodles", "rice", "curry", "gravy", "roti", "naan", "paratha", "biryani", "pulao", "dal",
+    "sabji", "roll", "fry", "sandwich", "burger", "pizza", "fries", "soup", "momo", "momos",
+)
+
+# Our own list: words that name no food when a name ends with them.
+VAGUE_ENDINGS = ("snack", "snacks")
+
 # Unit spellings and their short forms.
 UNITS = {
     "millilitre": "ml",

@@ -33,6 +33,9 @@ JOINED_QUANTITY = r"\b(\d+)_([a-z]+)\b"
 INNER_QUANTITY = r"([a-z])\s+(\d+(_[a-z]+)?)\s+([a-z])"
 HARD_SEPARATOR = r"\s*(&|\+|,|\|)\s*|\s+with\s+"
 PRICE_MARK = r"@(\d+)"
+COMBO = r"\bcombo\b"
+# 'egg-free', 'meat free'
+WITHOUT = r"\b[a-z]+[- ]free\b"
 
 
 def nfkc(name: Column) -> Column:
@@ -104,6 +107,12 @@ def component_name(segment: Column, noise: Sequence[str], spellings: Mapping[str
     return spell_correct(squeeze(text), spellings)
 
 
+def _dishes(component: Column) -> Column:
+    text = F.regexp_replace(component, COMBO, " ")
+    text = F.regexp_replace(squeeze(text), r"\b(" + "|".join(lexicons.DISH_WORDS) + r")\b ", "$1|")
+    return F.transform(F.split(text, r"\|"), squeeze)
+
+
 def is_single_item(name: Column, single: Sequence[str] = lexicons.SINGLE_ITEMS) -> Column:
     return squeeze(F.lower(name)).isin(*single)
 
@@ -114,8 +123,12 @@ def split_components(
     spellings: Mapping[str, str] = lexicons.SPELLINGS,
     single: Sequence[str] = lexicons.SINGLE_ITEMS,
 ) -> Column:
-    """Component names of a menu name, in order, split on separators and inner quantities."""
+    """Component names of a menu name, in order, split on separators and inner quantities.
+
+    The names of a combo are also split after each word that ends a dish.
+    """
     parts = F.transform(segments(name), lambda s: component_name(s, noise, spellings))
+    parts = F.when(F.lower(name).rlike(COMBO), F.flatten(F.transform(parts, _dishes))).otherwise(parts)
     return F.when(is_single_item(name, single), F.array(squeeze(F.lower(name)))).otherwise(
         F.filter(parts, lambda p: p != "")
     )
@@ -157,9 +170,11 @@ def is_ambiguous(
     vague: Sequence[str] = lexicons.AMBIGUOUS_NAMES,
     word: str = lexicons.AMBIGUOUS_WORD,
     specific: Sequence[str] = lexicons.SPECIFIC_NAMES,
+    endings: Sequence[str] = lexicons.VAGUE_ENDINGS,
 ) -> Column:
     text = squeeze(F.lower(name))
-    return (text.contains(word) | text.isin(*vague)) & ~text.isin(*specific)
+    last = F.element_at(F.split(text, " "), -1)
+    return (text.contains(word) | text.isin(*vague) | last.isin(*endings)) & ~text.isin(*specific)
 
 
 def is_mrp(
@@ -172,8 +187,14 @@ def is_mrp(
     return text.rlike(_any_word(brands)) & ~text.isin(*exceptions)
 
 
+def non_veg_pattern(words: Sequence[str]) -> str:
+    """A listed word, also in the plural."""
+    return r"\b(" + "|".join(words) + r")(s|es)?\b"
+
+
 def is_veg(name: Column, non_veg: Sequence[str] = lexicons.NON_VEG_WORDS) -> Column:
-    return ~F.lower(name).rlike(_any_word(non_veg))
+    """No listed word, where 'eggless' and '… free' do not count as one."""
+    return ~F.regexp_replace(F.lower(name), WITHOUT, " ").rlike(non_veg_pattern(non_veg))
 
 
 def relevance(query: Column, candidate: Column) -> Column:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.schemas import PROMPT_CACHE
+from platewise.session import spread
 
 Model = Callable[[Sequence[str]], Sequence[str]]
 ATTEMPTS = 3
+BATCH_SIZE = 256
 TTL_SECONDS = 7200
 FENCE_CHARACTERS = "`json"
+EMPTY_LIST = r"^\s*\[\s*\]\s*$"
 PARSE_FAILURE = "LLM JSON parsing failed"  # fixed value: name of the fallback row
 
 
@@ -25,36 +29,39 @@ def llm_batch(
     model: str,
     column: str = "prompt",
     attempts: int = ATTEMPTS,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Prompt column to completion column through the named model.
 
     ``models`` maps a name to a factory, called once per partition, that returns
-    a function from a batch of prompts to its completions. A batch that fails
-    ``attempts`` times is retried prompt by prompt; a prompt that still fails
-    gets a null completion and its error instead of failing the job.
+    a function from a batch of at most ``batch_size`` prompts to its completions.
+    A batch that fails ``attempts`` times is retried prompt by prompt; a prompt
+    that still fails gets a null completion and its error instead of failing the
+    job. The other columns pass through untouched.
     """
     factory = models[model]
     schema = T.StructType(
         list(prompts.schema.fields) + [T.StructField("completion", T.StringType()), T.StructField("error", T.StringType())]
     )
 
-    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = factory()
-        for batch in batches:
-            texts = batch[column].tolist()
-            answers, error = _attempt(call, texts, attempts)
-            if error is None:
-                results = [(a, None) for a in answers]
-            else:
-                results = []
-                for one in texts:
-                    answer, failure = _attempt(call, [one], attempts)
-                    results.append((None, failure) if failure else (answer[0], None))
-            batch["completion"] = [r[0] for r in results]
-            batch["error"] = [r[1] for r in results]
-            yield batch
-
-    return prompts.mapInPandas(complete, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_size):
+                batch = whole.slice(start, batch_size)
+                texts = batch.column(column).to_pylist()
+                answers, error = _attempt(call, texts, attempts)
+                if error is None:
+                    results = [(a, None) for a in answers]
+                else:
+                    results = []
+                    for one in texts:
+                        answer, failure = _attempt(call, [one], attempts)
+                        results.append((None, failure) if failure else (answer[0], None))
+                made = [pa.array([r[i] for r in results], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "completion", "error"])
+
+    return prompts.mapInArrow(complete, schema)
 
 
 def _attempt(call: Model, texts: Sequence[str], attempts: int) -> tuple[Sequence[str], str | None]:
@@ -88,20 +95,26 @@ def prompt_cache(
     model: str,
     ttl_seconds: int = TTL_SECONDS,
     column: str = "prompt",
-) -> tuple[DataFrame, DataFrame]:
-    """Answers for all prompts, and the new cache rows to append.
+) -> DataFrame:
+    """Answers for all prompts: ``response``, ``cache_hit`` and the ``error`` of prompts that failed.
 
     Only prompts without a fresh answer go to the model, each distinct prompt
-    once however often it occurs.
+    once however often it occurs. Evaluating the result again calls the model
+    again; :func:`answer_with_cache` does not.
     """
     keyed = prompts.withColumn("prompt_md5", prompt_key(column))
     fresh = fresh_cache(cache, now, ttl_seconds)
+    known = fresh.select("prompt_md5", "response", F.lit(True).alias("cache_hit"), F.lit(None).cast("string").alias("error"))
+    answered = _answers(keyed, fresh, models, model, column).withColumn("cache_hit", F.lit(False))
+    return keyed.join(known.unionByName(answered), "prompt_md5", "left")
+
+
+def _answers(
+    keyed: DataFrame, fresh: DataFrame, models: Mapping[str, Callable[[], Model]], model: str, column: str
+) -> DataFrame:
+    """prompt_md5, response and error of each distinct prompt that has no fresh answer."""
     missing = keyed.select("prompt_md5", column).dropDuplicates(["prompt_md5"]).join(fresh, "prompt_md5", "left_anti")
-    answered = llm_batch(missing, models, model, column).filter("error IS NULL").select(
-        "prompt_md5", F.col("completion").alias("response")
-    )
-    known = fresh.withColumn("cache_hit", F.lit(True)).unionByName(answered.withColumn("cache_hit", F.lit(False)))
-    return keyed.join(known, "prompt_md5", "left"), answered.withColumn("created_at", F.lit(now))
+    return llm_batch(missing, models, model, column).select("prompt_md5", F.col("completion").alias("response"), "error")
 
 
 def _joined(line: str, order: str) -> Column:
@@ -164,7 +177,7 @@ def render_feedback(template: str, comments: DataFrame, part_size: int = 200) ->
     parts = comments.groupBy(*item).agg(F.ceil(F.count("*") / part_size).alias("parts"))
     return (
         comments.join(parts, item)
-        .withColumn("part", F.pmod("review_id", "parts"))
+        .withColumn("part", spread(F.col("review_id"), F.col("parts")))
         .groupBy(*item, "part")
         .agg(_joined("concat_ws(', ', rating, user_comment)", "struct(comment_date, review_id)").alias("reviews"))
         .select(*item, "part", _fill(template, reviews=F.col("reviews")).alias("prompt"))
@@ -181,7 +194,7 @@ def parse_structured(answers: DataFrame, schema: str, required: Sequence[str], c
 
 
 def parse_fenced_json(answers: DataFrame, schema: str, column: str = "response") -> DataFrame:
-    """A fenced JSON list as rows (id, name); one row with id -1 where it cannot be read.
+    """A fenced JSON list as rows (id, name); one row with id -1 where it cannot be read, none for an empty list.
 
     The fence is stripped as characters, not as a prefix. The text is read as
     JSON first, and with single quotes turned into double quotes if that fails,
@@ -189,7 +202,8 @@ def parse_fenced_json(answers: DataFrame, schema: str, column: str = "response")
     """
     bare = F.trim(F.col(column), F.lit(FENCE_CHARACTERS))
     read = lambda c: F.from_json(c, schema, {"mode": "PERMISSIVE"})
-    usable = lambda c: F.when(F.coalesce(F.get_json_object(c, "$[0]"), F.lit("")).startswith("{"), read(c))
+    listed = lambda c: F.coalesce(F.get_json_object(c, "$[0]"), F.lit("")).startswith("{") | c.rlike(EMPTY_LIST)
+    usable = lambda c: F.when(listed(c), read(c))
     items = F.coalesce(usable(bare), usable(F.replace(bare, F.lit("'"), F.lit('"'))))
     fallback = F.array(F.struct(F.lit("-1").alias("id"), F.lit(PARSE_FAILURE).alias("name")))
     fields = F.transform(items, lambda i: F.struct(i["id"].alias("id"), i["name"].alias("name")))
@@ -215,14 +229,24 @@ def answer_with_cache(
 ) -> DataFrame:
     """Answers for all prompts through a cache table that is extended on the way.
 
-    The new answers are appended to the table before they are read back, so a
-    prompt goes to the model once even if the result is evaluated several times
-    or an executor is lost later.
+    The new answers are written before they are read back, so a prompt goes to
+    the model once even if the result is evaluated several times or an executor
+    is lost later. A prompt that fails comes back with its ``error`` and is not
+    cached; each run's answers stay beside the table, under ``<cache_path>-runs``.
     """
     spark = prompts.sparkSession
-    spark.createDataFrame([], PROMPT_CACHE).write.mode("append").parquet(cache_path)
-    read = lambda: spark.read.schema(PROMPT_CACHE).parquet(cache_path)
-    _, new = prompt_cache(prompts, read(), now, models, model, ttl_seconds, column)
-    new.write.mode("append").parquet(cache_path)
-    fresh = fresh_cache(read(), now, ttl_seconds)
-    return prompts.withColumn("prompt_md5", prompt_key(column)).join(fresh, "prompt_md5", "left")
+    keyed = prompts.withColumn("prompt_md5", prompt_key(column))
+    where = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        cache = spark.read.schema(PROMPT_CACHE).parquet(cache_path)
+    else:
+        cache = spark.createDataFrame([], PROMPT_CACHE)
+    fresh = fresh_cache(cache, now, ttl_seconds)
+    run = f"{cache_path.rstrip('/')}-runs/{uuid.uuid4().hex}"
+    _answers(keyed, fresh, models, model, column).write.parquet(run)
+    answered = spark.read.parquet(run)
+    good = answered.filter("error IS NULL").select("prompt_md5", "response", F.lit(now).alias("created_at"))
+    if not good.isEmpty():
+        good.write.mode("append").parquet(cache_path)
+    known = fresh.withColumn("error", F.lit(None).cast("string")).unionByName(answered)
+    return keyed.join(known, "prompt_md5", "left")

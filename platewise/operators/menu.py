@@ -177,13 +177,13 @@ def map_to_root_items(
 
     ``items`` and ``catalogue`` have id, name and embedding. Ambiguous and
     packaged names are set aside before the search and come back with an empty
-    list.
+    list, as do names that have no vector.
     """
     flags = menu_flags(items.select("id", "name"), brands, non_veg, vague, ambiguous_word)
     wanted = items.join(flags.filter("NOT is_ambiguous AND NOT is_mrp").select("id"), "id", "left_semi")
     roots = normalized_catalogue(catalogue.select("id", "name"), fold_unicode)
     components = menu_components(wanted.select("id", "name"), roots.select(F.col("root_name").alias("name")))
-    candidates = component_candidates(components, cosine_topk(wanted, catalogue, k))
+    candidates = component_candidates(components, cosine_topk(*(side.filter("embedding IS NOT NULL") for side in (wanted, catalogue)), k))
     best = best_root_items(rerank(candidates, roots, k), flags, non_veg)
     kept = component_limit(best, components)
     listed = kept.groupBy("item_id").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions import lexicons
 from platewise.operators.orders import trailing_window
+from platewise.session import spread
 
 
 def review_reference_filter(
@@ -320,7 +321,7 @@ def reviews_by_date(comments: DataFrame, part_size: int = 1000) -> DataFrame:
     )
     return (
         comments.join(parts, day)
-        .select(*day, F.pmod("review_id", "parts").alias("part"), "order_items", "review_id", line.alias("line"))
+        .select(*day, spread(F.col("review_id"), F.col("parts")).alias("part"), "order_items", "review_id", line.alias("line"))
         .groupBy(*day, "part")
         .agg(
             F.count("*").alias("reviews"),

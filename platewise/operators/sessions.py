@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HISTORY_LIMIT = 7
+PART_TURNS = 100
 
 
 def question_routing(questions: DataFrame, keyword: str = "schedule", column: str = "text") -> DataFrame:
@@ -41,12 +42,22 @@ def session_turns(conversations: DataFrame, limit: int = HISTORY_LIMIT) -> DataF
     )
 
 
-def session_history(turns: DataFrame) -> DataFrame:
-    """History text of each session short enough to be used; the limit bounds the group."""
+def unanswered_turns(conversations: DataFrame) -> DataFrame:
+    """User turns without an assistant turn right after them, which :func:`session_turns` leaves out."""
+    asked = conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    answered = conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return asked.join(answered, ["conv_id", "turn"], "left_anti")
+
+
+def session_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """History text of every session, in parts of at most ``part_turns`` turns.
+
+    ``history_used`` says whether the session is short enough for its history to
+    be shown; no history is left out here.
+    """
     line = F.concat(F.lit("Vendor_Question: "), "question", F.lit("\nSystem_Answer: "), "answer")
     return (
-        turns.filter("history_used")
-        .withColumn("line", line)
-        .groupBy("conv_id")
+        turns.withColumn("line", line)
+        .groupBy("conv_id", F.floor(F.col("turn") / part_turns).alias("part"), "history_used")
         .agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY turn)").alias("history"))
     )

@@ -24,6 +24,13 @@ def _any(words) -> str:
     return r"\b(" + "|".join(words) + r")\b"
 
 
+def _any_plural(words) -> str:
+    return r"\b(" + "|".join(words) + r")(s|es)?\b"
+
+
+_SPREAD = "CAST('0x' || substr(md5(CAST(review_id AS varchar)), 1, 8) AS bigint)"
+
+
 def _replace(column: str, pattern: str, by: str) -> str:
     return f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
 
@@ -273,8 +280,8 @@ STEPS = {
     "week_days": f"""
       SELECT vendor_id, {_day_name('dow')} AS day_of_week, count(*) AS schedules, CAST((dow + 6) % 7 + 1 AS bigint) AS day_order
       FROM shifts WHERE active = 1 GROUP BY vendor_id, dow""",
-    "review_parts": """
-      SELECT vendor_id, comment_date, review_id % CAST(ceil(n / 1000) AS bigint) AS part, count(*) AS reviews,
+    "review_parts": f"""
+      SELECT vendor_id, comment_date, {_SPREAD} % CAST(ceil(n / 1000) AS bigint) AS part, count(*) AS reviews,
         string_agg(line, chr(10) ORDER BY order_items, review_id) AS review_text
       FROM (SELECT *, count(*) OVER (PARTITION BY vendor_id, comment_date) AS n,
           '- Item: ' || order_items || ' - Rating (out of 5): ' || rating
@@ -302,7 +309,7 @@ STEPS = {
         (contains({_squeeze('lower(name)')}, '{q.AMBIGUOUS_WORD}') OR {_squeeze('lower(name)')} IN ({_list(q.VAGUE)}))
           AND {_squeeze('lower(name)')} NOT IN ({_list(lexicons.SPECIFIC_NAMES)}) AS is_ambiguous,
         regexp_matches({_squeeze('lower(name)')}, '{_any(q.BRANDS)}') AND {_squeeze('lower(name)')} NOT IN ({_list(lexicons.NOT_PACKAGED)}) AS is_mrp,
-        NOT regexp_matches(lower(name), '{_any(q.NON_VEG)}') AS is_veg
+        NOT regexp_matches(regexp_replace(lower(name), '\\b[a-z]+[- ]free\\b', ' ', 'g'), '{_any_plural(q.NON_VEG)}') AS is_veg
       FROM names""",
     "pieces": f"""
       SELECT id, position - 1 AS position, component FROM (
@@ -358,7 +365,7 @@ STEPS |= {
     "chosen": f"""
       SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY item_id, position ORDER BY relevance DESC, similarity DESC, root_id) AS pick
         FROM reranked s JOIN flags f ON f.id = s.item_id
-        WHERE relevance > 0 AND (NOT f.is_veg OR NOT regexp_matches(lower(s.name), '{_any(q.NON_VEG)}'))) WHERE pick = 1""",
+        WHERE relevance > 0 AND (NOT f.is_veg OR NOT regexp_matches(regexp_replace(lower(s.name), '\\b[a-z]+[- ]free\\b', ' ', 'g'), '{_any_plural(q.NON_VEG)}'))) WHERE pick = 1""",
     "kept": """
       SELECT item_id, position, root_id, name, place FROM (
         SELECT c.*, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, position, root_id) AS place FROM chosen c)
@@ -366,7 +373,7 @@ STEPS |= {
     "mapped": f"""
       SELECT f.id, f.name, {_details('f.name')} AS quantity_details, f.is_ambiguous, f.is_mrp, f.is_veg,
         coalesce(k.root_item_name, '') AS root_item_name, coalesce(k.root_item_ids, '') AS root_item_ids
-      FROM flags f JOIN embeddings e ON e.vec_id = f.id LEFT JOIN (
+      FROM flags f LEFT JOIN (
         SELECT item_id, string_agg(name, '{menu.SEPARATOR}' ORDER BY place) AS root_item_name,
           string_agg(CAST(root_id AS varchar), ',' ORDER BY place) AS root_item_ids FROM kept GROUP BY item_id) k ON k.item_id = f.id""",
 }
@@ -570,6 +577,12 @@ SELECTS = {
       FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
         SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents))""",
     "session_turns": "SELECT *, pairs < 7 AS history_used FROM turns",
+    "unanswered_turns": """
+      SELECT u.conv_id, u.turn, u.text AS question FROM conversations u LEFT JOIN conversations a
+        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user' AND a.conv_id IS NULL""",
+    "session_history": f"""
+      SELECT conv_id, turn // 100 AS part, pairs < 7 AS history_used, string_agg({_HISTORY}, chr(10) ORDER BY turn) AS history
+      FROM turns GROUP BY ALL""",
     "candidate_union": "SELECT item_id, CAST(position AS int) AS position, component, root_id, similarity FROM part_candidates",
     "daily_spine": "SELECT * FROM filled_spine",
     "dow_features": "SELECT *, "
@@ -630,8 +643,8 @@ SELECTS = {
       FROM supplier JOIN geo g ON g.vendor_id = s_suppkey
       LEFT JOIN (SELECT vendor_id, string_agg(created_date || ': ' || order_count, chr(10) ORDER BY created_date) AS history FROM daily GROUP BY vendor_id) d ON d.vendor_id = s_suppkey
       LEFT JOIN (SELECT vendor_id, string_agg(day_of_week || ': ' || schedules, chr(10) ORDER BY day_order) AS schedule FROM week_days GROUP BY vendor_id) s ON s.vendor_id = s_suppkey""",
-    "render_feedback": """
-      SELECT vendor_id, order_items, review_id % CAST(ceil(n / 200) AS bigint) AS part, 'Rating, comment:' || chr(10)
+    "render_feedback": f"""
+      SELECT vendor_id, order_items, {_SPREAD} % CAST(ceil(n / 200) AS bigint) AS part, 'Rating, comment:' || chr(10)
         || string_agg(rating || ', ' || user_comment, chr(10) ORDER BY comment_date, review_id) || chr(10) || 'Summarise the feedback in three points.' AS prompt
       FROM (SELECT *, count(*) OVER (PARTITION BY vendor_id, order_items) AS n FROM comments) GROUP BY ALL""",
     "prompt_cache": """
@@ -645,8 +658,8 @@ SELECTS = {
         CASE WHEN p_size <= 20 THEN p_name WHEN p_size <= 40 THEN p_name || '''s' ELSE 'LLM JSON parsing failed' END AS item_name FROM part
       UNION ALL SELECT p_partkey, '-7', 'x' FROM part WHERE p_size <= 20""",
     "retry": """
-      SELECT p_partkey AS id, p_name AS prompt, CASE WHEN NOT contains(p_name, 'ring') THEN upper(p_name) END AS completion,
-        CASE WHEN contains(p_name, 'ring') THEN 'TimeoutError: no answer' END AS error FROM part""",
+      SELECT p_partkey AS id, p_name AS prompt, CASE WHEN length(p_name) <= 22 THEN upper(p_name) END AS completion,
+        CASE WHEN length(p_name) > 22 THEN 'ValueError: prompt too long' END AS error FROM part""",
     "vendor_context": f"""
       SELECT s_suppkey AS vendor_id, 'vendor' AS block, CAST(0 AS bigint) AS part, 'Vendor Name: ' || s_name || chr(10)
         || 'Vendor Description: Balance ' || CAST(CAST(s_acctbal AS {MONEY}) AS varchar) AS text FROM supplier
@@ -661,8 +674,8 @@ SELECTS = {
         chr(10) ORDER BY day_order, location_id) FROM hours GROUP BY vendor_id
       UNION ALL SELECT vendor_id, 'reviews', (comment_date - date '1970-01-01') * 1000000 + part,
         'Review Date: ' || CAST(comment_date AS varchar) || chr(10) || review_text FROM review_parts
-      UNION ALL SELECT conv_id % (SELECT count(*) FROM supplier), 'history', conv_id, string_agg({_HISTORY}, chr(10) ORDER BY turn)
-        FROM turns WHERE pairs < 7 GROUP BY conv_id""",
+      UNION ALL SELECT conv_id % (SELECT count(*) FROM supplier), CASE WHEN pairs < 7 THEN 'history' ELSE 'long_history' END,
+        conv_id * 1000 + turn // 100, string_agg({_HISTORY}, chr(10) ORDER BY turn) FROM turns GROUP BY conv_id, turn // 100, pairs""",
 }
 
 SQL = {name: _with_steps(select) for name, select in SELECTS.items()}

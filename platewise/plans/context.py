@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import orders
 
+HISTORY_PARTS = 1000
 PARTS_PER_DAY = 1_000_000  # numbers review parts by day, then part of the day
 
 
@@ -71,7 +72,9 @@ def vendor_context(
         ),
     ]
     if history is not None:
-        blocks.append(history.select("vendor_id", F.lit("history").alias("block"), "part", "text"))
+        named = F.when(F.col("history_used"), "history").otherwise("long_history")
+        part = F.col("conv_id") * HISTORY_PARTS + F.col("part")
+        blocks.append(history.select("vendor_id", named.alias("block"), part.alias("part"), F.col("history").alias("text")))
     result = blocks[0]
     for block in blocks[1:]:
         result = result.unionByName(block)

@@ -455,7 +455,7 @@ def next_day_change(t: DriverTables) -> DataFrame:
 
 @query
 def topk_per_query(t: DriverTables) -> DataFrame:
-    return vectors.cosine_topk(t.menu_items, t.root_items, menu.CANDIDATES)
+    return vectors.cosine_topk(t.menu_items.filter("embedding IS NOT NULL"), t.root_items, menu.CANDIDATES)
 
 
 @query
@@ -475,6 +475,16 @@ def session_turns(t: DriverTables) -> DataFrame:
     return sessions.session_turns(t.raw("conversations"))
 
 
+@query
+def unanswered_turns(t: DriverTables) -> DataFrame:
+    return sessions.unanswered_turns(t.raw("conversations"))
+
+
+@query
+def session_history(t: DriverTables) -> DataFrame:
+    return sessions.session_history(sessions.session_turns(t.raw("conversations")))
+
+
 @query
 def candidate_union(t: DriverTables) -> DataFrame:
     return _candidates(t)[1]
@@ -622,20 +632,18 @@ def _digest_model() -> inference.Model:
     return lambda prompts: [hashlib.md5(p.encode()).hexdigest()[:8] for p in prompts]
 
 
-def _unsteady_model() -> inference.Model:
-    """Fails twice on every batch, and always on prompts that mention a ring."""
-    calls: dict[int, int] = {}
+def _strict_model() -> inference.Model:
+    """Answers short prompts and refuses long ones."""
 
     def answer(prompts):
-        seen = calls[id(prompts)] = calls.get(id(prompts), 0) + 1
-        if any("ring" in p for p in prompts) or seen < 3:
-            raise TimeoutError("no answer")
+        if any(len(p) > 22 for p in prompts):
+            raise ValueError("prompt too long")
         return [p.upper() for p in prompts]
 
     return answer
 
 
-MODELS = {"size": _size_model, "digest": _digest_model, "unsteady": _unsteady_model}
+MODELS = {"size": _size_model, "digest": _digest_model, "strict": _strict_model}
 
 
 @query
@@ -663,7 +671,7 @@ def prompt_cache(t: DriverTables) -> DataFrame:
         F.concat(F.lit("stored "), F.md5("text")).alias("response"),
         (F.lit(CACHE_EPOCH) - F.make_dt_interval(secs=F.col("conv_id") * 60)).alias("created_at"),
     )
-    answered, _ = inference.prompt_cache(asked, stored, CACHE_EPOCH, MODELS, "digest")
+    answered = inference.prompt_cache(asked, stored, CACHE_EPOCH, MODELS, "digest")
     return answered.select("conv_id", "turn", "prompt_md5", "response", "cache_hit")
 
 
@@ -687,13 +695,13 @@ def parse_fenced_json(t: DriverTables) -> DataFrame:
 @query
 def retry(t: DriverTables) -> DataFrame:
     prompts = t.menu.select("id", F.col("name").alias("prompt"))
-    return inference.llm_batch(prompts, MODELS, "unsteady")
+    return inference.llm_batch(prompts, MODELS, "strict")
 
 
 @query
 def _vendor_context(t: DriverTables) -> DataFrame:
     history = sessions.session_history(sessions.session_turns(t.raw("conversations"))).select(
-        (F.col("conv_id") % t._size("supplier")).alias("vendor_id"), F.col("conv_id").alias("part"), F.col("history").alias("text")
+        (F.col("conv_id") % t._size("supplier")).alias("vendor_id"), "conv_id", "part", "history_used", "history"
     )
     hours = vendors.vendor_schedule_hours(t.vendor_schedules, t.location, t.company, t.addresses, t.states, t.cities)
     return vendor_context(
@@ -764,7 +772,7 @@ def _candidates(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
     wanted = t.menu_items.join(flags.filter("NOT is_ambiguous AND NOT is_mrp").select("id"), "id", "left_semi")
     roots = menu.normalized_catalogue(t.root_items.select("id", "name"))
     components = menu.menu_components(wanted.select("id", "name"), roots.select(F.col("root_name").alias("name")))
-    found = vectors.cosine_topk(wanted, t.root_items, menu.CANDIDATES)
+    found = vectors.cosine_topk(wanted.filter("embedding IS NOT NULL"), t.root_items, menu.CANDIDATES)
     return components, menu.component_candidates(components, found), flags
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 import platewise
 
@@ -29,13 +32,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+def scratch_path(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh folder under ``base``, or under the cluster's shared checkpoint folder.
 
-    Only where the cluster names none (tests, a laptop) is a local folder used.
+    A machine-local folder would give executors different files, so without a
+    shared one this fails, unless everything runs on one machine. That folder is
+    removed when the process ends; no option of the session changes.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share, as base or in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="platewise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/platewise/{name}-{uuid.uuid4().hex}"
+
+
+def spread(key: Column, parts: Column) -> Column:
+    """Part number of a key, spread evenly whatever step the keys of a group keep."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % parts

@@ -63,9 +63,23 @@ def test_cache(spark):
         [(md5("a"), "old", NOW - dt.timedelta(seconds=7200)), (md5("b"), "first", NOW - dt.timedelta(seconds=90)), (md5("b"), "last", NOW - dt.timedelta(seconds=9))],
         schemas.PROMPT_CACHE,
     )
-    answered, new = inference.prompt_cache(prompts(spark, "a", "b", "a"), cache, NOW, MODELS, "upper")
+    answered = inference.prompt_cache(prompts(spark, "a", "b", "a"), cache, NOW, MODELS, "upper")
     assert sorted((r["prompt"], r["response"], r["cache_hit"]) for r in answered.collect()) == [("a", "A", False), ("a", "A", False), ("b", "last", True)]
-    assert [r["response"] for r in new.collect()] == ["A"]
+    assert answered.filter("error IS NOT NULL").count() == 0
+
+
+def test_failed_prompts_keep_their_error(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for _ in range(2):
+        found = inference.answer_with_cache(prompts(spark, "a", "bad"), path, NOW, MODELS, "picky")
+        assert sorted((r["prompt"], r["response"], r["error"]) for r in found.collect()) == [("a", "A", None), ("bad", None, "ValueError: refused")]
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_large_ids_beside_nulls_pass_through(spark):
+    rows = [(9007199254740993, "a"), (None, "b"), (-9223372036854775808, "c")]
+    found = inference.llm_batch(spark.createDataFrame(rows, "id bigint, prompt string"), MODELS, "upper", batch_size=2)
+    assert sorted(((r["id"], r["prompt"]) for r in found.collect()), key=str) == sorted(rows, key=str)
 
 
 def test_cache_table_is_extended(spark, tmp_path):
@@ -88,7 +102,7 @@ def test_parse_fenced_json(spark):
     answers = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row bigint, response string")
     parsed = inference.parse_fenced_json(answers, schemas.RANKED_ITEMS)
     found = sorted((r["row"], r["item_id"], r["item_name"]) for r in parsed.collect())
-    assert found[:4] == [(0, "1", "Dosa"), (0, "99", "Unknown"), (1, "2", "Domino's"), (2, "-1", inference.PARSE_FAILURE)]
+    assert found == [(0, "1", "Dosa"), (0, "99", "Unknown"), (1, "2", "Domino's"), (2, "-1", inference.PARSE_FAILURE)]
     catalogue = spark.createDataFrame([(1, "Dosa Plain"), (2, "Pizza")], "id bigint, name string")
     known = menu.known_items_only(parsed.withColumnRenamed("item_id", "id"), catalogue)
     assert sorted((r["row"], r["root_name"]) for r in known.collect()) == [(0, "Dosa Plain"), (1, "Pizza")]
@@ -100,14 +114,16 @@ def test_parse_structured(spark):
     assert [r["valid"] for r in found.collect()] == [True, False, False]
 
 
-def test_long_sessions_lose_their_history(spark):
+def test_long_sessions_are_marked_and_keep_their_history(spark):
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}.{t}") for c, n in ((1, 14), (2, 4), (3, 1)) for t in range(n)]
     pairs = sessions.session_turns(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
     assert {(r["conv_id"], r["pairs"], r["history_used"]) for r in pairs.collect()} == {(1, 7, False), (2, 2, True)}
-    history = sessions.session_history(pairs).collect()
-    assert [r["history"] for r in history] == [
-        "Vendor_Question: 2.0\nSystem_Answer: 2.1\nVendor_Question: 2.2\nSystem_Answer: 2.3"
-    ]
+    history = {(r["conv_id"], r["part"], r["history_used"]): r["history"] for r in sessions.session_history(pairs, 10).collect()}
+    assert set(history) == {(1, 0, False), (1, 1, False), (2, 0, True)}
+    assert history[2, 0, True] == "Vendor_Question: 2.0\nSystem_Answer: 2.1\nVendor_Question: 2.2\nSystem_Answer: 2.3"
+    assert sum(h.count("Vendor_Question") for h in history.values()) == 9
+    asked = sessions.unanswered_turns(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    assert [tuple(r) for r in asked.collect()] == [(3, 0, "3.0")]
 
 
 def test_schedule_questions(spark):

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from platewise.operators import reviews
+from platewise.operators import inference, reviews
 
 DAY = dt.date(2025, 1, 10)
 COMMENTS = "review_id bigint, vendor_id bigint, order_items string, rating string, user_comment string, comment_date date"
@@ -107,3 +107,15 @@ def test_signals_equal_those_of_the_assembled_comments(spark, rows):
     long = reviews.comment_signals(reviews.review_comments(review, responses, options, DAY))
     assert rows(short.select(*long.columns)) == rows(long)
     assert short.filter("commented").count() > 10
+
+
+def test_ids_in_steps_are_spread_over_the_parts(spark):
+    """All ids of a group may be alike modulo any number of parts."""
+    base = spark.range(6000).selectExpr(
+        "id * 3000 AS review_id", "CAST(1 AS bigint) AS vendor_id", "'Dosa' AS order_items", "'4/5' AS rating",
+        "concat('c', id) AS user_comment", "DATE'2025-01-01' AS comment_date",
+    )
+    parts = [r["reviews"] for r in reviews.reviews_by_date(base, part_size=1000).collect()]
+    assert len(parts) == 6 and sum(parts) == 6000 and max(parts) < 1200
+    prompts = inference.render_feedback("{reviews}", base, part_size=1000).collect()
+    assert len(prompts) == 6 and sum(p["prompt"].count("\n") + 1 for p in prompts) == 6000

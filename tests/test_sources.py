@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from platewise import schemas
+from platewise import schemas, session
 from platewise.sources import feeds, readers, writers
 
 
@@ -102,3 +102,15 @@ def test_tables_are_read_under_their_schema(spark, tmp_path):
     spark.createDataFrame([(1, "old")], "id bigint, vendor_name string").write.parquet(str(tmp_path / "vendor"))
     found = readers.scan_table(spark, str(tmp_path), "vendor").first()
     assert (found["vendor_name"], found["active"]) == ("old", None)
+
+
+def test_scratch_folders_are_shared_or_refused(spark, tmp_path):
+    from types import SimpleNamespace
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.scratch_path(spark, "x", str(tmp_path)).startswith(f"{tmp_path}/platewise/x-")
+    session.scratch_path(spark, "x")
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        session.scratch_path(cluster, "x")

@@ -78,7 +78,7 @@ def test_quantity_details(spark, name, expected):
 
 @pytest.mark.parametrize(
     "name, expected",
-    [("Deluxe Thali", True), ("Lunch", True), ("mango", True), ("Mango Masti", False), ("apple", False), ("Tea", False)],
+    [("Deluxe Thali", True), ("Lunch", True), ("mango", True), ("Mango Masti", False), ("apple", False), ("Tea", False), ("Glazed Night Snack", True)],
 )
 def test_is_ambiguous(spark, name, expected):
     assert one(spark, name, text.is_ambiguous) is expected
@@ -90,7 +90,8 @@ def test_is_mrp(spark, name, expected):
 
 
 @pytest.mark.parametrize(
-    "name, expected", [("Chicken Momo", False), ("Pizza Non Veg", False), ("Veg Momo", True), ("Eggless Cake", True)]
+    "name, expected", [("Chicken Momo", False), ("Pizza Non Veg", False), ("Veg Momo", True), ("Eggless Cake", True),
+     ("Prawns Curry", False), ("Eggs Benedict", False), ("Fishes", False), ("Tuna Sandwich", False), ("Seekh Kebab", False), ("Veg Egg-free cake", True)]
 )
 def test_is_veg(spark, name, expected):
     assert one(spark, name, text.is_veg) is expected
@@ -180,3 +181,15 @@ def test_component_limit(spark):
         [(1, 0, 7, "x", 0.5), (1, 0, 8, "y", 0.9)], "item_id bigint, position int, root_id bigint, name string, relevance double"
     )
     assert [r["name"] for r in menu.component_limit(ranked, components).collect()] == ["y"]
+
+
+@pytest.mark.parametrize(
+    "name, expected",
+    [
+        ("Veg Manchurian Noodle Combo", ["veg manchurian", "noodle"]),
+        ("Combo Chicken Curry Rice", ["chicken curry", "rice"]),
+        ("Fried Rice Combo", ["fried rice"]),
+    ],
+)
+def test_combos_are_split_after_each_dish(spark, name, expected):
+    assert one(spark, name, text.split_components) == expected

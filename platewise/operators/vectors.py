@@ -60,7 +60,8 @@ def _route(
 
     The cells that are nearest at worst and hold k rows between them bound the
     angle of the k-th neighbour; a cell whose nearest possible row lies beyond
-    is skipped. With ``probes`` only that many nearest cells are visited.
+    is skipped. With ``probes`` only that many nearest cells are visited, or as
+    many as it takes to hold k rows.
     """
     if len(pivots) == 1:
         return queries.select("query_id", "embedding", F.lit(0).alias("cell"))
@@ -71,9 +72,12 @@ def _route(
                 continue
             angles = _angles(_unit(batch["embedding"]), pivots)
             if probes is not None:
-                chosen = np.argsort(angles, axis=1, kind="stable")[:, :probes]
+                # The nearest cells, and further ones until they hold k rows between them.
+                order = np.argsort(angles, axis=1, kind="stable")
+                before = np.cumsum(counts[order], axis=1) - counts[order]
+                wanted = (np.arange(len(pivots)) < probes) | (before < k)
                 visited = np.zeros(angles.shape, dtype=bool)
-                np.put_along_axis(visited, chosen, True, axis=1)
+                np.put_along_axis(visited, order, wanted, axis=1)
             else:
                 farthest = np.minimum(angles + high, math.pi)
                 order = np.argsort(farthest, axis=1, kind="stable")

@@ -69,6 +69,13 @@ def test_approximate_recall(spark):
     assert len(wanted & got) / len(wanted) >= 0.9
 
 
+def test_approximate_search_gives_k_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = frame(spark, rng.normal(size=(60, 8)))
+    counts = vectors.ann_topk(rows, rows, 10, probes=2, block_rows=2).groupBy("query_id").count().collect()
+    assert [r["count"] for r in counts] == [10] * 60
+
+
 def test_far_cells_are_skipped(spark):
     """Queries near one cluster visit few of the cells."""
     rng = np.random.default_rng(9)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from platewise.llm.common import flat, gathered, packed, partitions, plain, prefix_hash, slices, span_hash, unpacked
 
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 5_000_000
 # The split pattern of the vocabulary's pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Below this code point the regex module and the library agree on every class; other texts are split by the library.

@@ -1,9 +1,10 @@
 """Join of documents by the Jaccard similarity of their word shingles.
 
 Shingles are ordered from rare to frequent by their exact number of texts. A text's
-prefix is the shortest beginning that it must share with any similar text. Rare
-shingles of the prefix are indexed singly. For frequent ones the prefix is extended by
-one shingle, and combinations of two are indexed. Texts that share a signature are
+prefix is the shortest beginning that it must share with any similar text, extended by
+one shingle where frequent ones are in it. Rare shingles of the prefix are indexed
+singly. A text whose prefix has frequent ones is indexed by combinations of its
+shingles, of which any two similar texts share one. Texts that share a signature are
 verified on their whole sets; verified links are joined by distributed union-find.
 
 Links inside a group of many copies are not expanded: frequent shingles first link
@@ -20,7 +21,6 @@ are ignored. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import LOWER, SPACE, flat, packed, partitions, plain, prefix_hash, shingle_hashes, signed, slices, span_hash, stored, unpacked, word_spans
+from platewise.llm.common import LOWER, SPACE, flat, mix, packed, partitions, plain, prefix_hash, shingle_hashes, signed, slices, span_hash, stored, unpacked, word_spans
 from platewise.llm.union import components
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 # Up to so many texts a shingle is rare.
 RARE = 16
 _U = np.uint64
@@ -150,16 +150,37 @@ def _prefixes(words: int, bits: int, buckets: int, least: int):
     return run
 
 
-def _combined(batches):
-    """Combinations of two frequent shingles of a text."""
-    for batch in batches:
-        for th, n, node, tokens in zip(*(batch.column(c).to_pylist() for c in ("th", "n", "node", "tokens")), strict=True):
-            pairs = np.asarray(list(combinations(sorted(tokens), 2)), np.int64).reshape(-1, 2).view(np.uint64)
-            for start in range(0, len(pairs), 50_000):
-                part = pairs[start : start + 50_000]
-                key = signed((part[:, 0] * _U(0xD6E8FEB86659FD93)) ^ (part[:, 1] >> _U(1)) ^ (part[:, 1] << _U(63)))
-                same = lambda x, m=len(part): pa.array([x] * m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key), same(th), same(n), same(node)], ["signature", "th", "n", "node"])
+def _combined(words: int, least: int):
+    """Combinations of a text's shingles: those that fall in the same hash class.
+
+    Two similar sets differ in a bounded number of shingles. With one class more than
+    that, some class holds the same shingles in both. The number of classes goes by a
+    scale of sizes; similar sets stand on the same or neighbouring steps, so each text
+    takes part on its own step and the next.
+    """
+    ratio, apart = 100 / least, 2 * (100 - least) / (100 + least)
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "ztext", 500_000):
+            sets, offsets = shingle_sets([unpack.decompress(z) for z in batch.column("ztext").to_pylist()], words)
+            out: list[list[np.ndarray]] = [[], []]
+            for i in range(batch.num_rows):
+                tokens = sets[offsets[i] : offsets[i + 1]]
+                level = int(np.floor(np.log(max(1, len(tokens))) / np.log(ratio) + 1e-9))
+                for step in (level, level + 1):
+                    classes = int(ratio ** (step + 1) * apart + 1e-6) + 1
+                    which = (mix(tokens ^ _U(step)) % _U(classes)).astype(np.int64)
+                    total = np.zeros(classes, np.uint64)
+                    np.add.at(total, which, mix(tokens))
+                    key = mix(total ^ mix(np.arange(classes, dtype=np.uint64) * _U(4096) + _U(step)))
+                    out[0].append(signed(key))
+                    out[1].append(np.full(classes, i))
+            row = pa.array(np.concatenate(out[1]))
+            facts = [batch.column(c).take(row) for c in ("th", "n", "node")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), *facts], ["signature", "th", "n", "node"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
@@ -190,7 +211,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> Dat
 
     one = texts.select(F.col("th").alias("a"), F.col("ztext").alias("one"))
     two = texts.select(F.col("th").alias("b"), F.col("ztext").alias("two"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").sortWithinPartitions("a")
+    # A table of pairs may be small; what is joined to it, texts, is not.
+    rows = pairs.hint("merge").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "one", "two").sortWithinPartitions("a")
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -226,27 +248,31 @@ def linked(docs: DataFrame, words: int = 3, least: int = 90) -> tuple[DataFrame,
     mates = F.when(F.col("often"), F.array_compact(F.array(F.first(me).over(order), F.lag(me).over(order)))).otherwise(near)
     pairs = stored(_pairs(index.withColumn("mates", mates), least), "pairs")
     ztexts = texts.mapInArrow(_compressed(blocks), "block bigint, th bigint, ztext binary")
-    edges = stored(_verified(pairs, _wanted(ztexts, pairs), words, least).unionByName(equal), "edges")
+    edges = stored(_verified(pairs, _wanted(ztexts, _ends(pairs)), words, least).unionByName(equal), "edges")
     roots = stored(components(edges), "roots")
 
-    # Frequent shingles of several components: combinations of two, pairs across components.
+    # Frequent shingles of several components: combinations, and pairs across components.
     often = index.where("often").join(roots.select(F.col("node").alias("th"), "root"), "th", "left")
     often = often.select("token", "th", "n", F.coalesce("root", "th").alias("node"))
     several = often.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
-    often = often.join(several, "token").groupBy("th", "n", "node").agg(F.collect_list("token").alias("tokens"))
-    combos = often.where(F.size("tokens") > 1).mapInArrow(_combined, "signature bigint, th bigint, n bigint, node bigint")
+    open_ = stored(often.join(several, "token").select("th", "n", "node").distinct(), "open")
+    sources = open_.hint("merge").join(_wanted(ztexts, open_.select("th")), "th")
+    combos = sources.mapInArrow(_combined(words, least), "signature bigint, th bigint, n bigint, node bigint")
     across = _across(combos, least)
     across = stored(across, "across")
     if not across.isEmpty():
-        later = _verified(across, _wanted(ztexts, across), words, least)
+        later = _verified(across, _wanted(ztexts, _ends(across)), words, least)
         roots = components(stored(later.unionByName(edges), "edges"))
     return sets.select("th", "n"), roots
 
 
-def _wanted(ztexts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that stand in some pair, each once."""
-    ids = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    return ztexts.join(ids, "th", "left_semi").groupBy("th").agg(F.first("ztext").alias("ztext"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+
+
+def _wanted(ztexts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids, each once."""
+    return ztexts.join(ids.hint("merge"), "th", "left_semi").groupBy("th").agg(F.first("ztext").alias("ztext"))
 
 
 def _across(combos: DataFrame, least: int) -> DataFrame:
@@ -255,11 +281,7 @@ def _across(combos: DataFrame, least: int) -> DataFrame:
     rows = combos.withColumn("x", F.min("node").over(counted)).withColumn("y", F.max("node").over(counted)).where("x != y")
     rows = rows.select("signature", "th", "n", "node")
     other = rows.select("signature", *(F.col(c).alias(c + "2") for c in ("th", "n", "node")))
-    # Sizes that can be similar differ by one step of this scale at most.
-    step = float(np.log(100 / least))
-    level = F.floor(F.log("n") / step)
-    rows, other = rows.withColumn("level", level), other.withColumn("level", F.explode(F.array(*(F.floor(F.log("n2") / step) + i for i in (-1, 0, 1)))))
-    pair = rows.join(other, ["signature", "level"]).where("th < th2 and node != node2")
+    pair = rows.join(other, "signature").where("th < th2 and node != node2")
     pair = pair.where(100 * F.least("n", "n2") >= least * F.greatest("n", "n2"))
     return pair.select(F.col("th").alias("a"), F.col("th2").alias("b")).distinct()
 

@@ -295,6 +295,31 @@ def test_lines(spark):
             assert edited[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) in kept)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_lines_of_a_frequent_band(spark, monkeypatch, few):
+    """Near copies are found also if they are neither the first of their band nor neighbours in length."""
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = random.Random(11)
+    template = "please read the terms of use "
+    other = ["".join(rng.choice("bcdfghjkl") for _ in range(100)) for _ in range(30)]
+    near = [(template + x, template + x[:40] + "#" + x[41:]) for x in other]
+    near += [(template + x[:50] + y, template + x[:50] + "." + y) for x, y in zip(other, other[1:], strict=False)]
+    frame = spark.createDataFrame([(i, x) for i, p in enumerate(near) for x in ["\n".join(p)]], "doc_id long, text string")
+    # Every band holds all lines.
+    monkeypatch.setattr(lines, "bands", lambda kept, *_: lines.F.array(lines.F.lit(1).cast("long")))
+    sets = {x: shingled(x) for p in near for x in p}
+    assert all(len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) for x, y in near)
+    kept = [sum(r["kept"] for r in rs) for rs in _by_doc(lines.decided(frame).collect())]
+    assert kept == [1] * len(near)
+
+
+def _by_doc(rows):
+    found = collections.defaultdict(list)
+    for r in rows:
+        found[r["doc_id"]].append(r)
+    return [found[d] for d in sorted(found)]
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = lines.similar(lines.split(docs).where("lid is not null").groupBy("lid").agg({"norm": "first"}).toDF("lid", "norm"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())

@@ -320,6 +320,36 @@ def _by_doc(rows):
     return [found[d] for d in sorted(found)]
 
 
+def test_lines_of_few_words(spark):
+    """Lines of one word, also unspaced and repeated ones, are held to brute force."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghij0123456789/_") for _ in range(n))
+    texts = ["=" * 40, "=" * 80, "all day long " * 5, "all day long " * 10, "abc", "abcd", "abcde"]
+    for n in [200] * 20 + list(range(6, 60)):
+        x = letters(n)
+        texts += [x, x[:2] + "#" + x[3:], x + "#", x[: n // 2] + "#" + x[n // 2 :], "#" + x]
+    texts = sorted({x.strip() for x in texts})
+    found = spark.createDataFrame(list(enumerate(texts)), "lid long, norm string")
+    found = {(r["a"], r["b"]) for r in lines.similar(found).collect()}
+    sets, links = [shingled(x) for x in texts], set()
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links.add((j, i))
+    assert found <= links
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in found:
+            root[i] = root[j] = min(root[i], root[j])
+    missed = {p for p in links if root[p[0]] != root[p[1]]}
+    assert len(missed) <= 0.01 * len(links)
+    short = {p for p in links if min(len(sets[i]) for i in p) < lines.SHORT}
+    assert len(short) > 20 and not short & missed
+    assert not {(texts.index(x * 5), texts.index(x * 10)) for x in ("=" * 8,)} & missed
+    assert not {(texts.index((x * 5).strip()), texts.index((x * 10).strip())) for x in ("all day long ",)} & missed
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = lines.similar(lines.split(docs).where("lid is not null").groupBy("lid").agg({"norm": "first"}).toDF("lid", "norm"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())

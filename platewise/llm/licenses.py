@@ -82,7 +82,8 @@ artistic-1.0 | artistic | artistic~licen[cs]e
 clarified-artistic | artistic | clarified~artistic~licen[cs]e
 isc | isc | isc~licen[cs]e
 zlib | zlib | zlib(?:/libpng)?~licen[cs]e
-libpng | libpng | (?:libpng|png~reference~library)~licen[cs]e
+libpng | libpng | libpng~licen[cs]e
+libpng | reference | png~reference~library~licen[cs]e
 unlicense | unlicen | (?:the~)?unlicen[cs]e
 wtfpl | want~to | do~what~the~f[\w*]{3}~you~want~to~public~licen[cs]e
 wtfpl | wtfpl | wtfpl
@@ -220,7 +221,8 @@ proprietary | may~not | may~not~be~(?:reproduced|copied|redistributed|republishe
 non-commercial | commercial | (?:for|to)~non~?commercial~(?:use|purposes?)(?:~only)?
 non-commercial | commercial | not~for~commercial~use
 personal-use | personal | for~personal~use~only
-research-only | research | for~(?:academic|research)(?:~and~(?:research|educational))?~(?:use|purposes)~only
+research-only | research | for~research(?:~and~(?:research|educational))?~(?:use|purposes)~only
+research-only | academic | for~academic(?:~and~(?:research|educational))?~(?:use|purposes)~only
 copyright | copyright | copyright~(?:\(c\)|\xc2\xa9)?~?(?:19|20)\d\d(?:~?[-,]~?(?:19|20)?\d\d)*
 copyright | (c) | \(c\)~(?:19|20)\d\d
 copyright | \xa9 | \xa9~?(?:19|20)\d\d

@@ -100,6 +100,49 @@ def test_license_rules_resolve():
         assert re.sub(r"\\", "", rule.keyword) in re.sub(r"\\", "", rule.pattern.replace("licen[cs]e", "license")) or rule.keyword in ("(c)", "\xa9")
 
 
+def samples(tree, most=3000):
+    """Strings that a parsed expression matches: every branch, and options both left out and taken."""
+    made = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            own = [chr(value)]
+        elif name == "IN":
+            negated = str(value[0][0]) == "NEGATE"
+            of = {"LITERAL": chr, "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}.get(str(v), "a")}
+            own = [" "] if negated else [of[str(k)](v) for k, v in value]
+        elif name == "BRANCH":
+            own = [x for branch in value[1] for x in samples(branch, most)]
+        elif name == "SUBPATTERN":
+            own = samples(value[3], most)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            own = [x * n for n in {low, max(low, min(high, 1))} for x in samples(inner, most)]
+        else:
+            assert name in ("ANY", "ASSERT", "ASSERT_NOT", "AT", "NOT_LITERAL", "CATEGORY"), name
+            own = ["z" if name in ("ANY", "NOT_LITERAL") else ""]
+        made = [x + y for x in made for y in own]
+        assert len(made) <= most
+    return made
+
+
+def test_license_keywords_stand_in_every_branch():
+    import re._parser as parser
+
+    made = licenses.rules()
+    for rule in made:
+        expression, tried = re.compile(rule.pattern, re.DOTALL), 0
+        for text in samples(parser.parse(rule.pattern, re.DOTALL), 200_000):
+            if expression.search(text):
+                tried += 1
+                assert rule.keyword in text, (rule, text)
+        assert tried, rule
+    scanner = licenses.Scanner(made)
+    for text in ("for academic use only", "for academic and educational purposes only", "for academic and research use only", "for research purposes only"):
+        assert [r.label for _, _, r in scanner.scan(text)[1]] == ["research-only"]
+    assert [r.label for _, _, r in scanner.scan("the png reference library license")[1]] == ["libpng"]
+
+
 def sets_of(rows, n):
     out = []
     for _, t, *_ in rows:

@@ -240,11 +240,12 @@ def _segments(length: int, anchor: int):
             data, offsets = flat(batch.column("text"))
             tids = batch.column("tid").to_numpy()
             parts = [(data, offsets, tids, 0)]
-            if len(data) > limit:  # a single long text goes piece by piece; pieces overlap by a string less one byte
+            if len(data) > limit:  # long texts go piece by piece; pieces overlap by a string less one byte
                 parts = [
-                    (data[a : a + limit + length - 1], np.asarray([0, min(limit + length - 1, len(data) - a)]), tids[:1], a)
-                    for a in range(0, len(data), limit)
-                ] if len(tids) == 1 else [(data[offsets[i] : offsets[i + 1]], np.asarray([0, offsets[i + 1] - offsets[i]]), tids[i : i + 1], 0) for i in range(len(tids))]
+                    (data[a : min(a + limit + length - 1, end)], np.asarray([0, min(limit + length - 1, end - a)]), tids[i : i + 1], a - start)
+                    for i, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+                    for a in range(start, end, limit)
+                ]
             for piece, bounds, ids, base in parts:
                 found = _anchored(piece, bounds, length, anchor)
                 if found is None:

@@ -235,6 +235,29 @@ def test_suffixes(docs, rows, hot, monkeypatch):
     assert table(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats(rows, 200)
 
 
+def test_suffixes_of_a_very_long_text():
+    """A text of more than 4 MiB that shares its slice with short ones is routed by the anchors of its own bytes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    long = rng.integers(97, 123, (1 << 22) + 300_000).astype(np.uint8)
+    again = long[-50_000:-20_000].tobytes()
+    batch = pa.RecordBatch.from_pydict({"tid": pa.array([1, 2, 3]), "text": pa.array([long.tobytes().decode(), again.decode(), "short"])})
+    rows = [r for part in suffixes._segments(200, 64)(iter([batch])) for r in part.to_pylist()]
+    mine = {(r["h"], r["off"], r["seg"]) for r in rows if r["tid"] == 1 and r["start"] >= len(long) - 50_000}
+    other = [(r["h"], r["off"], r["seg"]) for r in rows if r["tid"] == 2]
+    # Segments within the shared string are the same, but for those cut off at its ends.
+    assert len(other) > 100 and sum(x not in mine for x in other) <= 2
+    # Each string of the long text is in a segment.
+    assert {r["tid"] for r in rows} == {1, 2}
+    covered = np.zeros(len(long), bool)
+    for r in rows:
+        if r["tid"] == 1:
+            covered[r["start"] : r["start"] + r["n"]] = True
+            assert r["start"] + r["n"] + 199 <= len(long)
+    assert covered[: len(long) - 199].all()
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(40):

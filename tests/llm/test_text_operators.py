@@ -434,6 +434,35 @@ def test_compact_windows():
                 assert sum(le <= i <= m == c <= j <= r for le, m, r in found) == 1
 
 
+def test_shared_passages():
+    """Shingles that also stand elsewhere, and worse surroundings, do not hide a passage."""
+    x = np.arange(100, 160).astype(np.uint64)
+    noise = np.arange(1000, 1080).astype(np.uint64)
+    y = np.concatenate([x[20:21], noise, x])
+    assert passages.shared_passages(x, y, 46, 0.8, 81) == [(0, 60, 81, 141)]
+    # An exact part of the least length in a run that is less similar as a whole.
+    long = x.copy()
+    long = np.concatenate([long, np.arange(200, 320).astype(np.uint64)])
+    other = long.copy()
+    other[60:] = np.where(np.arange(120) % 9 < 8, long[60:], long[60:] + np.uint64(5000))
+    other = np.concatenate([other[:100], noise, other[100:]])
+    found = passages.shared_passages(long, other, 46, 0.8)
+    assert any(a == 0 and b >= 60 and (c, d) == (a, b) for a, b, c, d in found)
+
+
+def test_passages_with_shifts_across_lanes(spark):
+    rng = random.Random(21)
+    rows, n = [], 0
+    for k in range(20):
+        own = [f"w{k}x{i}" for i in range(60)]
+        lead = lambda m: [f"q{rng.random()}" for _ in range(m)]  # noqa: E731, B023
+        rows += [(n, " ".join(lead(3) + own + lead(5))), (n + 1, " ".join(lead(18) + own[:30] + ["new"] + own[30:] + lead(5)))]
+        n += 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.passage_report(frame).collect()
+    assert sum(r["n_covered"] >= 50 for r in found) >= 36
+
+
 def test_passages(docs, rows):
     """Every passage of 50 words that stands in two different texts is found, and texts that share nothing are left alone."""
     low = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t, *_ in rows]

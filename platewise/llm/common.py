@@ -72,6 +72,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """Just the two columns the operators need; a null text is empty."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import ann, bpe, exact, jaccard, licenses, lines, mixing, passages, suffixes, toxicity
-from platewise.llm.common import documents, labels, prepare
+from platewise.llm import ann, bpe, chat, exact, jaccard, licenses, lines, manifest, mixing, passages, suffixes, toxicity, trie
+from platewise.llm.common import conversations, documents, labels, prepare
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_intruder(conversations(spark, sf_dir))))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(documents(spark, sf_dir))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(conversations(spark, sf_dir))
+
+
 REGISTRY = {
     "op1_licenses": op1_licenses,
     "op2_jaccard": op2_jaccard,
@@ -59,5 +71,14 @@ REGISTRY = {
     "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
+    "op11_chat": op11_chat,
+    "op12_manifest": op12_manifest,
+    "op13_trie": op13_trie,
+}
+SQL = {
+    "op2_jaccard": jaccard.OP2_SQL,
+    "op5_exact": exact.OP5_SQL,
+    "op11_chat": chat.OP11_SQL,
+    "op12_manifest": manifest.OP12_SQL,
+    "op13_trie": trie.OP13_SQL,
 }
-SQL = {"op2_jaccard": jaccard.OP2_SQL, "op5_exact": exact.OP5_SQL}

@@ -622,6 +622,42 @@ SELECTS = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
           SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS double[]), CAST(b.embedding AS double[])), 6) AS similarity
           FROM embeddings a, embeddings b)) WHERE rank <= {menu.PLAIN_CANDIDATES}""",
+    "ann_topk_fixed": f"""
+      SELECT * FROM (WITH units AS (
+        SELECT vec_id AS id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v
+        FROM (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings)
+      ), dots AS (
+        SELECT id, j AS cell, 0.5 * list_sum(v[4 * j + 1:4 * j + 4]) AS dot FROM units, range(16) r(j)
+      ), assigned AS (
+        SELECT id, arg_max(cell, dot) AS cell FROM dots GROUP BY id
+      ), coded AS (
+        SELECT id, cell, list_transform(range(1, 65), lambda i:
+          CASE WHEN v[i] - CASE WHEN (i - 1) // 4 = cell THEN 0.5 ELSE 0 END > 0 THEN {q.CODE_STEP} ELSE -{q.CODE_STEP} END) AS code
+        FROM units JOIN assigned USING (id)
+      ), held AS (
+        SELECT cell, count(*) AS n FROM assigned GROUP BY cell
+      ), visited AS (
+        SELECT n.id, n.cell, n.dot,
+          coalesce(sum(h.n) OVER (PARTITION BY n.id ORDER BY n.dot DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            < {menu.PLAIN_CANDIDATES} AS nearest
+        FROM dots n JOIN held h USING (cell)
+      ), ranked_codes AS (
+        SELECT v.id AS query_id, c.id, v.nearest, round_even((v.dot + {q.CODE_REACH}) * 1e6, 0) AS likely,
+          round_even((v.dot + list_inner_product(r.v, c.code)) * 1e6, 0) AS score
+        FROM visited v JOIN coded c USING (cell) JOIN units r ON r.id = v.id
+      ), floors AS (
+        SELECT query_id, min(score) AS least FROM (
+          SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS i FROM ranked_codes WHERE nearest
+        ) WHERE i <= {menu.PLAIN_CANDIDATES} GROUP BY query_id
+      ), shortlist AS (
+        SELECT query_id, id FROM ranked_codes JOIN floors USING (query_id) WHERE nearest OR likely >= least
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {10 * menu.PLAIN_CANDIDATES}
+      ), matches AS (
+        SELECT s.query_id, s.id, round(list_inner_product(a.v, b.v), 6) AS similarity
+        FROM shortlist s JOIN units a ON a.id = s.query_id JOIN units b ON b.id = s.id
+      )
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS int) AS rank FROM matches
+      QUALIFY rank <= {menu.PLAIN_CANDIDATES})""",
     "rerank": "SELECT item_id, CAST(position AS int) AS position, component, root_id, similarity, relevance, CAST(rank AS int) AS rank FROM reranked",
     "map_to_root_items": "SELECT * FROM mapped",
     "attach_nutrition": f"""

@@ -17,7 +17,7 @@ QUERIES, SQL = REGISTRY, comparison.SQL  # the text operators have tests of thei
 ROWS_ONLY = {"sarimax_forecast", "ann_topk"}
 # Queries whose rules need Python: Unicode folding, block products, series fits, the user's model.
 PYTHON = {
-    "normalize_name", "id_watermark", "evaluate_mapping", "topk_per_query", "cosine_topk", "ann_topk", "candidate_union",
+    "normalize_name", "id_watermark", "evaluate_mapping", "topk_per_query", "cosine_topk", "ann_topk", "ann_topk_fixed", "candidate_union",
     "rerank", "component_limit", "map_to_root_items", "attach_nutrition", "sarimax_forecast", "llm_batch", "retry", "prompt_cache",
 }
 

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.bpe import default_path
-from platewise.llm.common import slices
+from platewise.llm.bpe import _splitter as splitter
+from platewise.llm.common import gathered, slices
 
 PIECE = 1_000_000
 # Parts go out together up to this many code points.
@@ -77,6 +78,68 @@ def encoder(path: str, template: Template):
     return tokenizer
 
 
+class Encoder:
+    """Encodes texts in batches; a word is encoded once per task, and its ids and spans are laid out wherever it stands.
+
+    Words are the pieces that the tokenizer itself cuts a text into before it merges, so
+    ids and spans are those of the whole text.
+    """
+
+    MOST_WORDS = 300_000
+
+    def __init__(self, path: str, template: Template):
+        self.library, self.split = encoder(path, template), splitter(path)
+        self.marks = re.compile("(" + "|".join(map(re.escape, template.marks)) + ")")
+        self.own = set(template.marks)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values, self.edges = np.zeros((0, 3), np.int32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        made = [
+            np.column_stack([np.asarray(e.ids, np.int32), np.asarray(e.offsets, np.int32).reshape(-1, 2)])
+            for e in self.library.encode_batch(words, add_special_tokens=False)
+        ]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.values = np.concatenate([self.values, *made])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(list(map(len, made)))])
+
+    def words(self, text: str) -> list[str]:
+        out: list[str] = []
+        for piece in self.marks.split(text):
+            if piece in self.own:
+                out.append(piece)
+            elif piece:
+                out += self.split(piece)
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, and where each token starts and stops, of every text."""
+        cut = [self.words(text) for text in texts]
+        if len(self.known) > self.MOST_WORDS:
+            self.forget()
+        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.known]
+        if new:
+            self.learn(new)
+        every = [w for words in cut for w in words]
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        lengths = np.fromiter(map(len, every), np.int64, len(every))
+        tokens, ends = gathered(self.values, self.edges, at)
+        # Where each word begins in the texts laid end to end, and the words and tokens up to each text.
+        begin = np.cumsum(lengths) - lengths
+        bound = np.cumsum([0, *map(len, cut)])
+        upto = np.concatenate([[0], ends])[bound]
+        tokens[:, 1:] += np.repeat(begin, np.diff(ends, prepend=0))[:, None].astype(np.int32)
+        before = np.cumsum([0, *map(len, texts)])
+        out = []
+        for i in range(len(texts)):
+            part = tokens[upto[i] : upto[i + 1]]
+            out.append((part[:, 0], part[:, 1] - np.int32(before[i]), part[:, 2] - np.int32(before[i])))
+        return out
+
+
 def aligned(starts: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which tokens lie under a span; both are sorted, and a token under a part of a span counts."""
     edges = np.asarray(spans, np.int64).reshape(-1, 2)
@@ -132,16 +195,19 @@ def _formatted(path: str, template: Template, limit: int, conv_type: pa.DataType
     schema = pa.schema(fields)
 
     def run(batches):
-        tokenizer, made, size = encoder(path, template), [], 0
+        encode, made, size = Encoder(path, template).encode, [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
-
-        for conv, part, text, spans in _parts(_rows(batches), template, limit):
-            encoded = tokenizer.encode(text, add_special_tokens=False)
-            starts, stops = np.asarray(encoded.offsets, np.int32).reshape(-1, 2).T
-            made.append((conv, part, text, np.asarray(encoded.ids, np.int32), starts, stops, aligned(starts, stops, spans)))
-            size += len(text)
+            encoded = encode([text for _, _, text, _ in made])
+            rows = [
+                (conv, part, text, ids, starts, stops, aligned(starts, stops, spans))
+                for (conv, part, text, spans), (ids, starts, stops) in zip(made, encoded, strict=True)
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for row in _parts(_rows(batches), template, limit):
+            made.append(row)
+            size += len(row[2])
             if size >= BATCH or len(made) >= 2000:
                 yield out()
                 made, size = [], 0

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from platewise.functions.dates import days_before
 from platewise.operators.orders import trailing_window
+from platewise.operators.sarimax import ORDERS, Orders, forecasts
 
 VENDOR = ("vendor_id",)
 PRODUCT = ("vendor_id", "product_id")
@@ -228,71 +231,100 @@ def forecast_backtest(compared: DataFrame, series: Sequence[str] = VENDOR) -> Da
 
 # --- seasonal ARIMA ---------------------------------------------------------
 
-SEASON = 7
-MIN_DAYS = 30
-LAGS = (1, SEASON, SEASON + 1)
+# Shorter series, in days after differencing, have too little to fit.
+MIN_FITTED = 21
+# Days that the weekday means of such series are taken of.
+RECENT_DAYS = 60
+# Series that are fitted together.
+BATCH_SERIES = 128
+SARIMAX, WEEKDAY_MEAN = "sarimax", "weekday_mean"
 
 
-def _lagged(x: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
-    return np.column_stack([x[start - lag : len(x) - lag] for lag in lags])
+def weekday_means(y: np.ndarray, horizon: int, season: int = ORDERS.season, recent: int = RECENT_DAYS) -> np.ndarray:
+    """The mean of each weekday over the last days, or of all of them for a weekday that is not among them."""
+    y = y[-recent:]
+    phase = (np.arange(len(y)) - len(y)) % season
+    means = [y[phase == k].mean() if (phase == k).any() else y.mean() for k in range(season)]
+    return np.array([means[h % season] for h in range(horizon)])
 
 
-def _weekday_means(y: np.ndarray, horizon: int) -> np.ndarray:
-    recent = y[-60:]
-    phase = (np.arange(len(recent)) - len(recent)) % SEASON
-    means = [recent[phase == k].mean() if (phase == k).any() else recent.mean() for k in range(SEASON)]
-    return np.array([means[h % SEASON] for h in range(horizon)])
-
-
-def seasonal_arima(y: np.ndarray, horizon: int) -> np.ndarray:
-    """(1,1,1)(1,1,1) with season 7 by two least-squares passes.
-
-    A long autoregression of the differenced series gives the innovations, and
-    a second regression on lags 1, 7 and 8 of series and innovations gives the
-    coefficients. Weekday indicators vanish under the seasonal difference. It
-    approximates the likelihood fit. Short series, and fits that blow up, take
-    weekday means.
-    """
-    if len(y) < MIN_DAYS:
-        return _weekday_means(y, horizon)
-    w = np.diff(y)[SEASON:] - np.diff(y)[:-SEASON]
-    order = max(1, min(2 * SEASON, len(w) // 4))
-    design = _lagged(w, range(1, order + 1), order)
-    noise = np.zeros_like(w)
-    noise[order:] = w[order:] - design @ np.linalg.lstsq(design, w[order:], rcond=None)[0]
-    start = max(LAGS)
-    both = np.hstack([_lagged(w, LAGS, start), _lagged(noise, LAGS, start)])
-    coefficients = np.linalg.lstsq(both, w[start:], rcond=None)[0]
-    series, steps, shocks = list(y), list(w), list(noise)
-    for _ in range(horizon):
-        inputs = [steps[-lag] for lag in LAGS] + [shocks[-lag] for lag in LAGS]
-        steps.append(float(coefficients @ inputs))
-        shocks.append(0.0)
-        series.append(steps[-1] + series[-1] + series[-SEASON] - series[-SEASON - 1])
-    forecast = np.array(series[len(y) :])
-    if not np.isfinite(forecast).all() or np.abs(forecast).max() > 10 * (np.abs(y).max() + 1):
-        return _weekday_means(y, horizon)
-    return forecast
+def _forecast_batch(batch: list[tuple], horizon: int, orders: Orders) -> Iterator[tuple[tuple, str, np.ndarray]]:
+    """Key, method and forecast of each of a batch of (key, values, regressors so far, regressors to come)."""
+    lost = len(orders.differences) - 1
+    long = [b for b in batch if len(b[1]) - lost >= MIN_FITTED]
+    short = [b for b in batch if len(b[1]) - lost < MIN_FITTED]
+    if long:
+        found = forecasts([b[1] for b in long], [b[2] for b in long], [b[3] for b in long], horizon, orders)
+        yield from ((b[0], SARIMAX, values) for b, values in zip(long, found, strict=True))
+    yield from ((b[0], WEEKDAY_MEAN, weekday_means(b[1], horizon, orders.season)) for b in short)
 
 
 def sarimax_forecast(
-    filled: DataFrame, horizon: int = 28, series: Sequence[str] = VENDOR, date: str = "created_date"
+    filled: DataFrame,
+    horizon: int = 28,
+    series: Sequence[str] = VENDOR,
+    date: str = "created_date",
+    regressors: DataFrame | None = None,
+    orders: Orders = ORDERS,
+    training_days: int | None = None,
 ) -> DataFrame:
-    """Seasonal ARIMA per series on a gap-free daily frame; a group is one series' days."""
-    schema = ", ".join(f"{name} {filled.schema[name].dataType.simpleString()}" for name in series)
+    """Seasonal ARIMA per series on a gap-free daily frame, with weekday indicators and further regressors.
+
+    ``regressors`` has the columns of ``series`` (or none of them, for all series), ``date`` and numbers,
+    for the days so far and to come; a missing day counts as 0. Orders are (1,1,1)(1,1,1) with season 7
+    by default, where weekday indicators vanish under the seasonal difference. A fit takes all days, or
+    the last ``training_days`` of each series. ``method`` says how a forecast was made: by the fit, or by
+    weekday means where a series is too short for it. Forecasts are rounded half to even and never below
+    0. Days without a count are left out. A task reads its series one after another and fits
+    ``BATCH_SERIES`` of them at a time; a series has a row per day.
+    """
     keys = list(series)
-
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(date)
-        values = seasonal_arima(frame["order_count"].to_numpy(dtype=float), horizon)
-        days = pd.date_range(pd.Timestamp(frame[date].iloc[-1]) + pd.Timedelta(days=1), periods=horizon)
-        out = pd.DataFrame({"date": days.date, "order_count": np.maximum(np.rint(values), 0).astype("int64")})
-        for name, part in zip(keys, key):
-            out.insert(0, name, part)
-        return out[[*keys, "date", "order_count"]]
-
-    return (
-        filled.select(*series, date, "order_count")
-        .groupBy(*series)
-        .applyInPandas(fit, f"{schema}, date date, order_count bigint")
-    )
+    counted = filled.filter("order_count IS NOT NULL")
+    days = counted.select(*keys, date, F.col("order_count").cast("double").alias("order_count"))
+    first = F.min(date) if training_days is None else F.greatest(F.min(date), F.date_sub(F.max(date), training_days - 1))
+    spans = days.groupBy(*keys).agg(first.alias("_first"), F.date_add(F.max(date), horizon).alias("_end"))
+    spine = spans.select(*keys, F.explode(F.sequence("_first", "_end")).alias(date))
+    frame = dow_features(spine.join(days, [*keys, date], "left"), date)
+    columns = [c for c in frame.columns if c.startswith("dow_")]
+    if regressors is not None:
+        shared = [k for k in keys if k in regressors.columns] + [date]
+        more = [c for c in regressors.columns if c not in shared]
+        frame = frame.join(regressors, shared, "left").fillna(0.0, more)
+        columns += more
+    frame = frame.select(*keys, date, "order_count", F.array(*(F.col(c).cast("double") for c in columns)).alias("regressors"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: list[tuple]) -> pa.RecordBatch:
+            ends = {key: end for key, *_, end in batch}
+            out = [(key, method, values) for key, method, values in _forecast_batch([b[:4] for b in batch], horizon, orders)]
+            rows = [
+                (*key, ends[key] + dt.timedelta(days=h + 1), method, max(int(np.rint(v)), 0))
+                for key, method, values in out
+                for h, v in enumerate(values)
+            ]
+            columns = [pa.array(c, kinds[i]) for i, c in enumerate(zip(*rows, strict=True))]
+            return pa.RecordBatch.from_arrays(columns, [*keys, "date", "method", "order_count"])
+
+        ready: list[tuple] = []
+        for key, rows in groupby(_day_rows(batches, keys, date), key=lambda r: r[0]):
+            _, dates, counts, factors = zip(*rows, strict=True)
+            known = sum(c is not None for c in counts)
+            matrix = np.array(factors, float)
+            ready.append((key, np.array(counts[:known], float), matrix[:known], matrix[known:], dates[known - 1]))
+            if len(ready) >= BATCH_SERIES:
+                yield made(ready)
+                ready = []
+        if ready:
+            yield made(ready)
+
+    kinds = [*(to_arrow_type(filled.schema[k].dataType) for k in keys), pa.date32(), pa.string(), pa.int64()]
+    schema = ", ".join(f"{name} {filled.schema[name].dataType.simpleString()}" for name in keys)
+    ordered = frame.repartition(*keys).sortWithinPartitions(*keys, date)
+    return ordered.mapInArrow(fit, f"{schema}, date date, method string, order_count bigint")
+
+
+def _day_rows(batches: Iterator[pa.RecordBatch], keys: Sequence[str], date: str) -> Iterator[tuple]:
+    for batch in batches:
+        names = [*keys, date, "order_count", "regressors"]
+        for *key, day, count, factors in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            yield tuple(key), day, count, factors

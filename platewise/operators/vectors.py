@@ -27,7 +27,7 @@ from typing import ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
@@ -222,6 +222,15 @@ def _cell_sizes(assigned: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray
     return counts, radius
 
 
+def _shared_cells(centroids: np.ndarray, counts: np.ndarray, block_rows: int) -> tuple[Column, np.ndarray]:
+    """Cells in order of their angle to the first one, joined until they hold a block's rows: the new cell, and the rows of each."""
+    order = np.argsort(-(centroids @ centroids[0]), kind="stable")
+    cell = np.zeros(len(counts), "int64")
+    cell[order] = (np.cumsum(counts[order]) - counts[order]) // block_rows
+    rows = np.bincount(cell, counts).astype("int64")
+    return F.get(F.array(*[F.lit(int(c)) for c in cell]), F.col("cell")), rows
+
+
 def _packed(assigned: DataFrame, counts: np.ndarray, block_rows: int, encode: Callable[[np.ndarray, int], bytes] | None = None) -> DataFrame:
     """One row per block: cell, number, the ids in order, and their vectors, or codes, one after another."""
     numbers = F.array(*[F.lit(int(n)) for n in np.maximum(-(-counts // block_rows), 1)])
@@ -435,7 +444,8 @@ def _nothing(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def _blocks_of_queries(queries: DataFrame, centroids: np.ndarray, block_rows: int) -> DataFrame:
     assigned = _assigned(_rows(queries), centroids)
-    return _packed(assigned, _cell_sizes(assigned, len(centroids))[0], block_rows)
+    cell, rows = _shared_cells(centroids, _cell_sizes(assigned, len(centroids))[0], block_rows)
+    return _packed(assigned.withColumn("cell", cell.cast("int")), rows, block_rows)
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:

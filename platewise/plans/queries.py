@@ -30,6 +30,7 @@ AMBIGUOUS_WORD = "anvil"
 EXCLUDED = ("P",)
 HORIZON = 14
 BACKTEST_DAYS = 23
+TRAINING_DAYS = 397  # fixed value: thirteen months, January to the January after
 TEMPLATE = (
     "Holidays:\n{holidays}\n{location}\nVendor schedule:\n{schedule}\nHistorical data:\n{history}\nPredict the next 14 days."
 )
@@ -519,7 +520,8 @@ def holiday_features(t: DriverTables) -> DataFrame:
 
 @query
 def sarimax_forecast(t: DriverTables) -> DataFrame:
-    return timeseries.sarimax_forecast(timeseries.ffill_daily(timeseries.daily_spine(_all_daily(t))))
+    filled = timeseries.ffill_daily(timeseries.daily_spine(_all_daily(t)))
+    return timeseries.sarimax_forecast(filled, training_days=TRAINING_DAYS)
 
 
 @query

@@ -334,9 +334,9 @@ class DriverTables:
 
     @cached_property
     def root_items(self) -> DataFrame:
-        """Catalogue: a vector and the product name of the same number."""
-        return self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding").join(
-            self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id"
+        """Catalogue: every product name, with the vector of the same number where there is one."""
+        return self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).join(
+            self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left"
         )
 
     @cached_property

@@ -107,6 +107,13 @@ def component_name(segment: Column, noise: Sequence[str], spellings: Mapping[str
     return spell_correct(squeeze(text), spellings)
 
 
+def canonical_name(
+    name: Column, noise: Sequence[str] = lexicons.NOISE_WORDS, spellings: Mapping[str, str] = lexicons.SPELLINGS
+) -> Column:
+    """A whole name written as `component_name` writes one segment, so that the two can be compared."""
+    return component_name(F.regexp_replace(mark_prices(F.lower(name)), QUANTITY, "$1_$2"), noise, spellings)
+
+
 def _dishes(component: Column) -> Column:
     text = F.regexp_replace(component, COMBO, " ")
     text = F.regexp_replace(squeeze(text), r"\b(" + "|".join(lexicons.DISH_WORDS) + r")\b ", "$1|")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import lexicons, text
+from platewise.operators.names import MIN_SHARE, name_candidates, split_compounds
 from platewise.operators.vectors import cosine_topk
+from platewise.session import materialized
 
 SEPARATOR = " | "
 CANDIDATES = 50
@@ -25,42 +27,6 @@ def id_watermark(items: DataFrame, low: int = WATERMARK, fold_unicode: bool = Tr
     )
 
 
-def split_compounds(components: DataFrame, catalogue_names: DataFrame) -> DataFrame:
-    """Splits components that consist of two catalogue names with no separator between them.
-
-    Input rows (id, position, component). Each distinct component is cut at
-    every word boundary, and the cut whose two sides are both in the catalogue
-    (of several the longest first side) is taken. The lookups are equi-joins on
-    a side that is unique by name.
-    """
-    known = catalogue_names.select(F.col("name").alias("known")).distinct()
-    words = F.split("component", " ")
-    cuts = (
-        components.select("component")
-        .distinct()
-        .join(known, F.col("component") == F.col("known"), "left_anti")
-        .filter(F.size(words) >= 2)
-        .withColumn("cut", F.explode(F.sequence(F.lit(1), F.size(words) - 1)))
-        .select(
-            "component",
-            "cut",
-            F.array_join(F.slice(words, 1, F.col("cut")), " ").alias("head"),
-            F.array_join(F.slice(words, F.col("cut") + 1, F.size(words) - F.col("cut")), " ").alias("rest"),
-        )
-    )
-    chosen = (
-        cuts.join(known.withColumnRenamed("known", "head"), "head", "left_semi")
-        .join(known.withColumnRenamed("known", "rest"), "rest", "left_semi")
-        .groupBy("component")
-        .agg(F.max_by(F.array("head", "rest"), "cut").alias("parts"))
-    )
-    return (
-        components.join(chosen, "component", "left")
-        .select("id", "position", F.posexplode(F.coalesce("parts", F.array("component"))).alias("part", "component"))
-        .select("id", "position", "part", "component")
-    )
-
-
 def menu_components(
     names: DataFrame,
     catalogue_names: DataFrame | None = None,
@@ -96,14 +62,22 @@ def menu_flags(
     )
 
 
-def component_candidates(components: DataFrame, candidates: DataFrame) -> DataFrame:
+def component_candidates(components: DataFrame, candidates: DataFrame, by_name: DataFrame | None = None) -> DataFrame:
     """Candidate list of every component, duplicates between components kept.
 
-    ``candidates`` holds the ranked neighbours of each item (query_id, id,
-    similarity), at most k of them, so an item yields components × k rows.
+    ``candidates`` holds the ranked neighbours of each item (query_id, id, similarity),
+    ``by_name`` those of each component's words (component, root_id), at most k either
+    way, so an item yields components × 2 k rows. A candidate that the vectors did not
+    give has similarity 0.
     """
+    asked = components.withColumnRenamed("id", "item_id")
     found = candidates.select(F.col("query_id").alias("item_id"), F.col("id").alias("root_id"), "similarity")
-    return components.withColumnRenamed("id", "item_id").join(found, "item_id")
+    found = asked.join(found, "item_id")
+    if by_name is None:
+        return found
+    named = asked.join(by_name, "component").withColumn("similarity", F.lit(None).cast("double"))
+    both = found.unionByName(named).groupBy("item_id", "position", "component", "root_id")
+    return both.agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("similarity"))
 
 
 def rerank(candidates: DataFrame, catalogue: DataFrame, top_n: int = CANDIDATES) -> DataFrame:
@@ -155,12 +129,40 @@ def best_root_items(
     )
 
 
+def folded_names(df: DataFrame, fold_unicode: bool = True) -> DataFrame:
+    """Names in lower case, with compatibility characters folded."""
+    name = F.lower("name")
+    return df.withColumn("name", text.nfkc(name) if fold_unicode else name)
+
+
 def normalized_catalogue(
     catalogue: DataFrame, fold_unicode: bool = True, spellings: Mapping[str, str] = lexicons.SPELLINGS
 ) -> DataFrame:
-    return catalogue.withColumn(
-        "root_name", text.spell_correct(text.normalize_name(F.col("name"), fold_unicode), spellings)
-    )
+    """The catalogue with ``root_name``, its name written as components of menu names are."""
+    folded = text.nfkc(F.lower("name")) if fold_unicode else F.lower("name")
+    return catalogue.withColumn("root_name", text.canonical_name(folded, spellings=spellings))
+
+
+# Names that are looked for in the catalogue.
+SEARCHED = "NOT is_ambiguous AND NOT is_mrp"
+
+
+def read_names(
+    items: DataFrame,
+    catalogue: DataFrame,
+    brands: Sequence[str] = lexicons.BRANDS,
+    non_veg: Sequence[str] = lexicons.NON_VEG_WORDS,
+    vague: Sequence[str] = lexicons.AMBIGUOUS_NAMES,
+    ambiguous_word: str = lexicons.AMBIGUOUS_WORD,
+    fold_unicode: bool = True,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the names say, read once and written: flags and quantities of items, root names, and components of the searched."""
+    flags = menu_flags(items.select("id", "name"), brands, non_veg, vague, ambiguous_word)
+    read = materialized(flags.withColumn("quantity_details", text.quantity_details(F.col("name"))), "names")
+    roots = materialized(normalized_catalogue(catalogue.select("id", "name"), fold_unicode), "roots")
+    names = folded_names(read.filter(SEARCHED).select("id", "name"), fold_unicode)
+    components = menu_components(names, roots.select(F.col("root_name").alias("name")))
+    return read, roots, materialized(components, "components")
 
 
 def map_to_root_items(
@@ -172,36 +174,38 @@ def map_to_root_items(
     vague: Sequence[str] = lexicons.AMBIGUOUS_NAMES,
     ambiguous_word: str = lexicons.AMBIGUOUS_WORD,
     fold_unicode: bool = True,
+    least: float = MIN_SHARE,
 ) -> DataFrame:
     """Root items of every menu name.
 
-    ``items`` and ``catalogue`` have id, name and embedding. Ambiguous and
-    packaged names are set aside before the search and come back with an empty
-    list, as do names that have no vector.
+    ``items`` and ``catalogue`` have id, name and embedding. Candidates of a component are
+    the item's nearest vectors and the catalogue names that share at least ``least`` of
+    its words, so items and catalogue rows without a vector are found by name. Ambiguous
+    and packaged names are set aside before the search and come back with an empty list.
     """
-    flags = menu_flags(items.select("id", "name"), brands, non_veg, vague, ambiguous_word)
-    wanted = items.join(flags.filter("NOT is_ambiguous AND NOT is_mrp").select("id"), "id", "left_semi")
-    roots = normalized_catalogue(catalogue.select("id", "name"), fold_unicode)
-    components = menu_components(wanted.select("id", "name"), roots.select(F.col("root_name").alias("name")))
-    candidates = component_candidates(components, cosine_topk(*(side.filter("embedding IS NOT NULL") for side in (wanted, catalogue)), k))
-    best = best_root_items(rerank(candidates, roots, k), flags, non_veg)
-    kept = component_limit(best, components)
+    read, roots, components = read_names(items, catalogue, brands, non_veg, vague, ambiguous_word, fold_unicode)
+    flags = read.select("id", "is_veg")
+    wanted = items.join(read.filter(SEARCHED).select("id"), "id", "left_semi")
+    near = cosine_topk(*(side.filter("embedding IS NOT NULL") for side in (wanted, catalogue)), k)
+    # Components of items without a vector are looked up once for all items that are alike.
+    own = F.when(F.col("near_id").isNotNull(), F.col("id").cast("string"))
+    each = components.join(flags, "id").join(wanted.filter("embedding IS NOT NULL").select("id", F.col("id").alias("near_id")), "id", "left")
+    each = each.withColumn("lookup", F.concat_ws("|", own, F.col("is_veg").cast("string"), F.col("component")))
+    lookups = each.select(F.col("lookup").alias("id"), F.lit(0).alias("position"), "component", "is_veg", "near_id").distinct()
+    near = near.withColumnRenamed("query_id", "near_id").join(lookups.select("near_id", F.col("id").alias("query_id")).distinct(), "near_id")
+    candidates = component_candidates(lookups.select("id", "position", "component"), near, name_candidates(components, roots, k, least))
+    best = best_root_items(rerank(candidates, roots, k), lookups.select("id", "is_veg"), non_veg)
+    best = best.select(F.col("item_id").alias("lookup"), "root_id", "name", "relevance")
+    found = each.select(F.col("id").alias("item_id"), "position", "lookup").join(best, "lookup")
+    kept = component_limit(found, components)
     listed = kept.groupBy("item_id").agg(
         F.expr(f"listagg(name, '{SEPARATOR}') WITHIN GROUP (ORDER BY place)").alias("root_item_name"),
         F.expr("listagg(cast(root_id AS string), ',') WITHIN GROUP (ORDER BY place)").alias("root_item_ids"),
     )
-    return (
-        flags.join(listed.withColumnRenamed("item_id", "id"), "id", "left")
-        .select(
-            "id",
-            "name",
-            text.quantity_details(F.col("name")).alias("quantity_details"),
-            "is_ambiguous",
-            "is_mrp",
-            "is_veg",
-            F.coalesce("root_item_name", F.lit("")).alias("root_item_name"),
-            F.coalesce("root_item_ids", F.lit("")).alias("root_item_ids"),
-        )
+    return read.join(listed.withColumnRenamed("item_id", "id"), "id", "left").select(
+        "id", "name", "quantity_details", "is_ambiguous", "is_mrp", "is_veg",
+        F.coalesce("root_item_name", F.lit("")).alias("root_item_name"),
+        F.coalesce("root_item_ids", F.lit("")).alias("root_item_ids"),
     )
 
 

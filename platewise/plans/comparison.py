@@ -10,7 +10,7 @@ import re
 
 from platewise import adapters
 from platewise.functions import lexicons, text
-from platewise.operators import menu, timeseries
+from platewise.operators import menu, names, timeseries
 from platewise.plans import queries as q
 
 MONEY = "decimal(18,2)"
@@ -319,38 +319,63 @@ STEPS = {
       SELECT DISTINCT name FROM (
         SELECT {_stripped('p_name')} AS name FROM part UNION ALL SELECT {_stripped('lower(p_type)')} FROM part) WHERE name <> ''""",
     "roots": f"""
-      SELECT vec_id AS id, p_name AS name, {_spell(_normal('p_name'), lexicons.SPELLINGS)} AS root_name, embedding
-      FROM embeddings JOIN part ON p_partkey = vec_id""",
-    "wanted": "SELECT f.id, e.embedding FROM flags f JOIN embeddings e ON e.vec_id = f.id WHERE NOT is_ambiguous AND NOT is_mrp",
+      SELECT p_partkey AS id, p_name AS name, {_component(_replace(_chain('lower(p_name)', *PRICES), text.QUANTITY, chr(92) + '1_' + chr(92) + '2'))} AS root_name,
+        embedding
+      FROM part LEFT JOIN embeddings ON p_partkey = vec_id""",
+    "wanted": "SELECT f.id, e.embedding FROM flags f LEFT JOIN embeddings e ON e.vec_id = f.id WHERE NOT is_ambiguous AND NOT is_mrp",
     "item_neighbours": f"""
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
         SELECT w.id AS query_id, r.id, round(list_cosine_similarity(CAST(w.embedding AS double[]), CAST(r.embedding AS double[])), 6) AS similarity
-        FROM wanted w, roots r)) WHERE rank <= {menu.CANDIDATES}""",
+        FROM wanted w, roots r WHERE w.embedding IS NOT NULL AND r.embedding IS NOT NULL)) WHERE rank <= {menu.CANDIDATES}""",
 }
 
 
 def _split(pieces: str, vocabulary: str) -> str:
-    """Pieces made of two vocabulary names cut in two, positions renumbered."""
+    """Pieces made of several vocabulary names cut into the fewest, positions renumbered."""
     return f"""
       SELECT id, row_number() OVER (PARTITION BY id ORDER BY position, part) - 1 AS position, component FROM (
         SELECT id, position, unnest(range(0, len(parts))) AS part, unnest(parts) AS component FROM (
           SELECT x.id, x.position, coalesce(c.parts, [x.component]) AS parts FROM ({pieces}) x LEFT JOIN (
-            SELECT component, arg_max([head, rest], cut) AS parts FROM (
-              SELECT component, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
-              FROM (SELECT component, w, unnest(range(1, len(w))) AS cut
-                FROM (SELECT DISTINCT component, string_split(component, ' ') AS w FROM ({pieces})
-                  WHERE component NOT IN (SELECT name FROM {vocabulary}))))
-            WHERE head IN (SELECT name FROM {vocabulary}) AND rest IN (SELECT name FROM {vocabulary})
+            SELECT component, arg_min(parts, lengths) AS parts FROM (
+              WITH RECURSIVE paths AS (
+                SELECT component, string_split(component, ' ') AS w, 0 AS done, [] :: VARCHAR[] AS parts, [] :: BIGINT[] AS lengths
+                FROM (SELECT DISTINCT component FROM ({pieces}) WHERE component NOT IN (SELECT name FROM {vocabulary}))
+                UNION ALL
+                SELECT component, w, stop, list_append(parts, span), list_append(lengths, done - stop) FROM (
+                  SELECT *, array_to_string(w[done + 1:stop], ' ') AS span FROM (SELECT *, unnest(range(done + 1, len(w) + 1)) AS stop FROM paths))
+                WHERE span IN (SELECT name FROM {vocabulary})
+              )
+              SELECT component, parts, list_prepend(len(parts), lengths) AS lengths FROM paths WHERE done = len(w))
             GROUP BY component) c ON c.component = x.component))"""
 
 
+def _by_name(components: str, k: int, least: float) -> str:
+    """The k closest names of each distinct component among those that share enough words."""
+    return f"""
+      SELECT component, root_id FROM (
+        SELECT *, row_number() OVER (PARTITION BY component ORDER BY CASE WHEN component = root_name THEN 1.0 ELSE round(
+            CASE WHEN string_split(component, ' ')[-1] = string_split(root_name, ' ')[-1] THEN least(0.99, share + 0.1) ELSE share END, 6) END DESC,
+          root_id) AS place
+        FROM (SELECT c.component, r.id AS root_id, r.root_name,
+            len(list_intersect(list_distinct(string_split(c.component, ' ')), list_distinct(string_split(r.root_name, ' ')))) /
+            len(list_distinct(list_concat(string_split(c.component, ' '), string_split(r.root_name, ' ')))) AS share
+          FROM (SELECT DISTINCT component FROM {components} WHERE component <> '') c, roots r WHERE r.root_name <> '')
+        WHERE share >= {least})
+      WHERE place <= {k}"""
+
+
 STEPS |= {
     "all_parts": _split("SELECT * FROM pieces", "vocabulary"),
     "root_names": "SELECT DISTINCT root_name AS name FROM roots",
     "wanted_parts": _split("SELECT * FROM pieces WHERE id IN (SELECT id FROM wanted)", "root_names"),
+    "by_name": _by_name("wanted_parts", menu.CANDIDATES, names.MIN_SHARE),
     "part_candidates": """
-      SELECT w.id AS item_id, w.position, w.component, n.id AS root_id, n.similarity
-      FROM wanted_parts w JOIN item_neighbours n ON n.query_id = w.id""",
+      SELECT item_id, position, component, root_id, coalesce(max(similarity), 0.0) AS similarity FROM (
+        SELECT w.id AS item_id, w.position, w.component, n.id AS root_id, n.similarity
+        FROM wanted_parts w JOIN item_neighbours n ON n.query_id = w.id
+        UNION ALL
+        SELECT w.id, w.position, w.component, b.root_id, NULL FROM wanted_parts w JOIN by_name b ON b.component = w.component)
+      GROUP BY ALL""",
     "scored": """
       SELECT c.*, r.name, CASE WHEN c.component = r.root_name THEN 1.0 ELSE round(
           CASE WHEN string_split(c.component, ' ')[-1] = string_split(r.root_name, ' ')[-1] THEN least(0.99, share + 0.1) ELSE share END, 6) END AS relevance
@@ -570,7 +595,7 @@ SELECTS = {
       SELECT query_id, id, similarity, CAST(rank AS int) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
           SELECT e.vec_id AS query_id, r.id, round(list_cosine_similarity(CAST(e.embedding AS double[]), CAST(r.embedding AS double[])), 6) AS similarity
-          FROM embeddings e JOIN part ON p_partkey = e.vec_id, roots r)) WHERE rank <= {menu.CANDIDATES}""",
+          FROM embeddings e JOIN part ON p_partkey = e.vec_id, roots r WHERE r.embedding IS NOT NULL)) WHERE rank <= {menu.CANDIDATES}""",
     "component_limit": "SELECT item_id, CAST(position AS int) AS position, root_id, name, CAST(place AS int) AS place FROM kept",
     "sentence_windows": r"""
       SELECT doc_id, CAST(i - 1 AS int) AS position, s[i] AS sentence, array_to_string(s[greatest(i - 2, 1):i + 2], ' ') AS "window"
@@ -610,6 +635,25 @@ SELECTS = {
     "spell_correct": "SELECT p_partkey AS id, "
     + _spell("p_name", {"gizmo": "gadget", "anvil": "block", "rod": "bar"})
     + " AS corrected FROM part",
+    "spell_correct_free": f"""
+      WITH counted AS (
+        SELECT known, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS known FROM part) GROUP BY known
+        UNION ALL SELECT 'bult', 0
+      ), each AS (
+        SELECT id, unnest(w) AS word, unnest(range(len(w))) AS place FROM (
+          SELECT p_partkey AS id, string_split(CASE p_partkey % 4 WHEN 1 THEN p_name[1:1] || p_name[3:] WHEN 2 THEN p_name || p_name[-1:]
+            WHEN 3 THEN regexp_replace(p_name, 'i|o', 'u', 'g') ELSE p_name END, ' ') AS w FROM part)
+      ), nearest AS (
+        SELECT word, arg_min(known, [distance, -n, place]) AS corrected FROM (
+          SELECT e.word, c.known, c.n, levenshtein(e.word, c.known) AS distance, row_number() OVER (ORDER BY c.known) AS place
+          FROM (SELECT DISTINCT word FROM each) e, counted c
+          WHERE length(c.known) BETWEEN {names.ONE_ERROR} AND {names.LONGEST} AND regexp_full_match(e.word, '[a-z'']{{2,}}')
+            AND length(e.word) <= {names.LONGEST} AND e.word NOT IN (SELECT known FROM counted))
+        WHERE distance <= CASE WHEN length(known) >= {names.TWO_ERRORS} THEN 2 ELSE 1 END GROUP BY word
+      )
+      SELECT id, string_agg(coalesce(corrected, e.word), ' ' ORDER BY place) AS corrected
+      FROM each e LEFT JOIN nearest s ON s.word = e.word GROUP BY id""",
+    "name_candidates": _by_name("pieces", menu.PLAIN_CANDIDATES, 0.3),
     "strip_noise": f"SELECT id, name, {_stripped('name')} AS stripped FROM names",
     "split_components": "SELECT id, CAST(position AS int) AS position, component FROM all_parts",
     "quantity_details": f"SELECT id, name, {_details('name')} AS quantity_details FROM names",

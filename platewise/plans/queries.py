@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from platewise import schemas
 from platewise.adapters import DriverTables
 from platewise.functions import lexicons, text
-from platewise.operators import inference, ingredients, menu, orders, reviews, sessions, timeseries, vectors, vendors
+from platewise.operators import inference, ingredients, menu, names, orders, reviews, sessions, timeseries, vectors, vendors
 from platewise.plans.context import vendor_context
 from platewise.session import scratch_path, tune
 from platewise.sources import feeds, readers, writers
@@ -557,6 +557,29 @@ def spell_correct(t: DriverTables) -> DataFrame:
     return t.menu.select("id", text.spell_correct(F.col("name"), spellings).alias("corrected"))
 
 
+def _misspelt(t: DriverTables) -> DataFrame:
+    """Product names with a letter lost, doubled or replaced by product number."""
+    name, key = F.col("p_name"), F.col("p_partkey")
+    lost = F.concat(F.substring(name, 1, 1), F.expr("substring(p_name, 3)"))
+    doubled = F.concat(name, F.expr("right(p_name, 1)"))
+    other = F.regexp_replace(name, "i|o", "u")
+    wrong = F.when(key % 4 == 1, lost).when(key % 4 == 2, doubled).when(key % 4 == 3, other).otherwise(name)
+    return t.raw("part").select(key.alias("id"), wrong.alias("name"))
+
+
+@query
+def spell_correct_free(t: DriverTables) -> DataFrame:
+    known = names.vocabulary(t.raw("part").select(F.col("p_name").alias("name")), ("bult",))
+    return names.correct_names(_misspelt(t), known)
+
+
+@query
+def name_candidates(t: DriverTables) -> DataFrame:
+    components = menu.menu_components(menu.folded_names(t.menu_names, False))
+    roots = menu.normalized_catalogue(t.root_items.select("id", "name"), False)
+    return names.name_candidates(components, roots, menu.PLAIN_CANDIDATES, 0.3)
+
+
 @query
 def strip_noise(t: DriverTables) -> DataFrame:
     return t.menu_names.withColumn("stripped", text.strip_noise(F.col("name")))
@@ -787,18 +810,16 @@ def _root_names(t: DriverTables) -> DataFrame:
     return names.select(text.strip_noise(F.col("name")).alias("name")).filter("name <> ''").distinct()
 
 
-def _candidates(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    flags = menu.menu_flags(t.menu_items.select("id", "name"), BRANDS, NON_VEG, VAGUE, AMBIGUOUS_WORD)
-    wanted = t.menu_items.join(flags.filter("NOT is_ambiguous AND NOT is_mrp").select("id"), "id", "left_semi")
-    roots = menu.normalized_catalogue(t.root_items.select("id", "name"))
-    components = menu.menu_components(wanted.select("id", "name"), roots.select(F.col("root_name").alias("name")))
+def _candidates(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    read, roots, components = menu.read_names(t.menu_items, t.root_items, BRANDS, NON_VEG, VAGUE, AMBIGUOUS_WORD)
+    wanted = t.menu_items.join(read.filter(menu.SEARCHED).select("id"), "id", "left_semi")
     found = vectors.cosine_topk(wanted.filter("embedding IS NOT NULL"), t.root_items, menu.CANDIDATES)
-    return components, menu.component_candidates(components, found), flags
+    by_name = names.name_candidates(components, roots, menu.CANDIDATES)
+    return components, menu.component_candidates(components, found, by_name), read, roots
 
 
 def _resolved(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    components, candidates, flags = _candidates(t)
-    roots = menu.normalized_catalogue(t.root_items.select("id", "name"))
+    components, candidates, flags, roots = _candidates(t)
     return components, menu.rerank(candidates, roots), flags
 
 

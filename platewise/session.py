@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import platewise
@@ -48,6 +48,13 @@ def scratch_path(spark: SparkSession, name: str, base: str | None = None) -> str
     return f"{base.rstrip('/')}/platewise/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """A frame written once to the scratch folder and read back: several branches then read it, and lost executors cost nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(key: Column, parts: Column) -> Column:
     """Part number of a key, spread evenly whatever step the keys of a group keep."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % parts

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from platewise.functions import text
-from platewise.operators import menu
+from platewise.operators import menu, names
 
 
 def one(spark, value, build):
@@ -123,6 +125,96 @@ def test_compounds_split_on_catalogue_names(spark, rows):
     ]
 
 
+def test_compounds_of_three_names(spark, rows):
+    """No list of dish words is needed; the fewest names win, then the longer first name, and a gap keeps the name whole."""
+    asked = spark.createDataFrame(
+        [(1, "Lemon Rice Sambar Medu Vada"), (2, "Lemon Rice Unknown Vada"), (3, "Curd Rice Rice"), (4, "Vada Vada Vada")], "id bigint, name string"
+    )
+    catalogue = ["lemon rice", "rice", "lemon", "sambar", "medu vada", "vada", "curd", "curd rice", "rice rice"]
+    found = menu.menu_components(asked, spark.createDataFrame([(c,) for c in catalogue], "name string"))
+    assert rows(found.select("id", "position", "component")) == [
+        (1, 0, "lemon rice"), (1, 1, "sambar"), (1, 2, "medu vada"), (2, 0, "lemon rice unknown vada"),
+        (3, 0, "curd rice"), (3, 1, "rice"), (4, 0, "vada"), (4, 1, "vada"), (4, 2, "vada"),
+    ]
+
+
+def test_free_form_spelling(spark, rows):
+    known = [("paneer masala",), ("paneer tikka",), ("paratha",), ("malabar parotta",), ("chicken manchurian",), ("dal",), ("tikki",)]
+    vocabulary = names.vocabulary(spark.createDataFrame(known, "name string"), ("chocolate",))
+    asked = {
+        1: ("panner masalla", "paneer masala"),
+        2: ("parotta", "parotta"),  # a known word, however near another one
+        3: ("manchuriyan", "manchurian"),
+        4: ("mnchuran", "manchurian"),  # two letters of a long word
+        5: ("dl tikka", "dl tikka"),  # too short to tell
+        6: ("tikkx", "tikka"),  # tikka is used as often as tikki: the first in order
+        7: ("chocolat 500", "chocolate 500"),
+        8: ("completely different", "completely different"),
+        9: ("", ""),
+        10: ("x" * 400, "x" * 400),
+    }
+    found = names.correct_names(spark.createDataFrame([(i, a) for i, (a, _) in asked.items()], "id bigint, name string"), vocabulary)
+    assert {r["id"]: r["corrected"] for r in found.collect()} == {i: b for i, (_, b) in asked.items()}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_corrections_miss_nothing(spark):
+    rng = random.Random(12)
+    known = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 10))) for _ in range(120)})
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(2, 11))) for _ in range(200)})
+    vocabulary = spark.createDataFrame([(w, 1 + i % 3) for i, w in enumerate(known)], "known string, names bigint")
+    found = {r["word"]: r["corrected"] for r in names.word_corrections(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary).collect()}
+    expected = {}
+    for w in set(words) - set(known):
+        near = [(edit_distance(w, k), -(1 + i % 3), k) for i, k in enumerate(known) if len(k) >= 4]
+        near = [x for x in near if x[0] <= (2 if len(x[2]) >= 8 else 1)]
+        if near:
+            expected[w] = min(near)[2]
+    assert found == expected and len(found) > 20
+
+
+def test_name_candidates_miss_nothing(spark, rows):
+    rng = random.Random(14)
+    word = lambda: rng.choice("aa bb cc dd ee ff gg hh common common common common".split())
+    some = lambda n: [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    asked, roots = some(40), some(150)
+    found = names.name_candidates(
+        spark.createDataFrame([(a,) for a in asked + asked[:9]], "component string"),
+        spark.createDataFrame(list(enumerate(roots)), "id bigint, root_name string"), 1000, 0.4,
+    )
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    expected = sorted({(a, i) for a in asked for i, r in enumerate(roots) if share(a.split(), r.split()) >= 0.4})
+    assert sorted(rows(found)) == expected
+    few = names.name_candidates(
+        spark.createDataFrame([("common aa",)], "component string"),
+        spark.createDataFrame([(i, "common aa" if i % 2 else "aa") for i in range(40)], "id bigint, root_name string"), 5,
+    )
+    assert rows(few) == [("common aa", i) for i in (1, 3, 5, 7, 9)]
+
+
+def test_items_without_a_vector_are_mapped_by_name(spark):
+    items = spark.createDataFrame([(1, "Domino\'s Pizza 2 pcs", None), (2, "Lemon Rice Sambar", None), (3, "Mystery", [1.0, 0.0])], VECTORS)
+    catalogue = spark.createDataFrame(
+        [(10, "Domino\'s Pizza", None), (11, "Lemon Rice", None), (12, "Sambar", [1.0, 0.0]), (13, "ﬁsh", None)], VECTORS
+    )
+    found = {r["id"]: r["root_item_name"] for r in menu.map_to_root_items(items, catalogue).collect()}
+    assert found == {1: "Domino\'s Pizza", 2: "Lemon Rice | Sambar", 3: ""}
+
+
+def test_both_sides_are_written_alike(spark):
+    assert one(spark, "Domino\'s Pizza", lambda c: text.canonical_name(c)) == "domino\'s pizza"
+    assert one(spark, "Domino\'s Pizza", text.split_components) == ["domino\'s pizza"]
+    assert one(spark, "Special Chappathi 2 pcs Rs 30", lambda c: text.canonical_name(c)) == "chapati"
+
+
 def test_sentence_windows(spark, rows):
     docs = spark.createDataFrame([(1, "A. B! C? D\nE."), (2, " ... "), (3, "Z")], "doc_id bigint, text string")
     assert rows(menu.sentence_windows(docs, 1)) == [

@@ -142,11 +142,14 @@ def review_signals(
 
     No listed word spans the '. ' between two segments, so each segment is
     searched where it is read and only bits are combined per review, before the
-    shuffle as well as after.
+    shuffle as well as after. Responses to reviews outside the window are left out
+    before their text is read.
     """
     names = [name for name, _ in _chunks(words)]
+    kept = _window_reviews(review, as_of, days)
+    inside = responses.join(kept.select("review_id"), "review_id", "left_semi")
     found = (
-        response_segments(responses, options)
+        response_segments(inside, options)
         .withColumn("lowered", F.lower("segment"))
         .select("review_id", "segment", *[c.alias(n) for n, c in word_bits(F.col("lowered"), words).items()])
         .groupBy("review_id")
@@ -156,8 +159,7 @@ def review_signals(
         )
     )
     return (
-        _window_reviews(review, as_of, days)
-        .join(found, "review_id", "left")
+        kept.join(found, "review_id", "left")
         .na.fill(0, names)
         .withColumn("commented", F.coalesce("commented", F.lit(False)))
     )

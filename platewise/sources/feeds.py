@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # Fixed values of stored reviews.
 PROVIDER = "user"
-PROVIDER_ID = 1374836
 QUESTION = "user comment"
 REFERENCE_RANGE = 1_000_000_000
 
@@ -84,10 +83,10 @@ def resolve_products(feed: DataFrame, menu: DataFrame) -> DataFrame:
     )
 
 
-def normalise_reviews(feed: DataFrame, menu: DataFrame) -> NormalisedReviews:
+def normalise_reviews(feed: DataFrame, menu: DataFrame, provider_id: int = 0) -> NormalisedReviews:
     """Review, option and response rows of a review feed, and the rows whose products are not valid.
 
-    Every review has one text option and one response; the three share the
+    ``provider_id`` is the account that gave the reviews. Every review has one text option and one response; the three share the
     feed's id, so they can be written independently.
     """
     resolved = resolve_products(feed, menu)
@@ -95,7 +94,7 @@ def normalise_reviews(feed: DataFrame, menu: DataFrame) -> NormalisedReviews:
         "reference_id", F.pmod(F.xxhash64("feed_id"), F.lit(REFERENCE_RANGE)) + 1
     )
     review = good.select(
-        F.col("feed_id").alias("id"), F.lit(PROVIDER).alias("provider"), F.lit(PROVIDER_ID).alias("provider_id"),
+        F.col("feed_id").alias("id"), F.lit(PROVIDER).alias("provider"), F.lit(provider_id).cast("bigint").alias("provider_id"),
         F.lit("order").alias("reference"), "reference_id", "vendor_id", "location_id", "rating",
         F.lit("").alias("comment"), F.col("date").alias("order_created_date"), "order_items",
     )

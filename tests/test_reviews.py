@@ -119,3 +119,23 @@ def test_ids_in_steps_are_spread_over_the_parts(spark):
     assert len(parts) == 6 and sum(parts) == 6000 and max(parts) < 1200
     prompts = inference.render_feedback("{reviews}", base, part_size=1000).collect()
     assert len(prompts) == 6 and sum(p["prompt"].count("\n") + 1 for p in prompts) == 6000
+
+
+def test_only_responses_of_the_window_are_searched(spark):
+    """Responses meet the window's reviews before their text is read."""
+    review = spark.createDataFrame(
+        [(1, 9, 4, "order", dt.datetime(2025, 1, 2, 10), DAY, "Dosa"), (2, 9, 2, "order", dt.datetime(2024, 1, 3, 10), dt.date(2024, 1, 1), "Idli")],
+        "id bigint, vendor_id bigint, rating int, reference string, created_at timestamp, order_created_date date, order_items string",
+    )
+    options = spark.createDataFrame([(1, "text", "q")], "id bigint, type string, question string")
+    responses = spark.createDataFrame(
+        [(11, 1, 1, "great"), (12, 2, 1, "great, tasty")], "id bigint, review_id bigint, review_option_id bigint, value string"
+    )
+    signals = reviews.review_signals(review, responses, options, DAY)
+    assert [r["review_id"] for r in signals.collect()] == [1]
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda i: len(lines[i]) - len(lines[i].lstrip(" :+-"))
+    search = next(i for i, line in enumerate(lines) if "Contains(" in line or "contains(" in line.lower())
+    semi = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    assert semi > search and depth(semi) > depth(search)

@@ -11,6 +11,7 @@ def one(spark, value, build):
     return spark.createDataFrame([(value,)], "s string").select(build(F.col("s")).alias("r")).first()["r"]
 
 
+# The examples of names that the rules are stated with.
 @pytest.mark.parametrize(
     "name, expected",
     [

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import LOWER, SPACE, flat, mix, packed, partitions, plain, prefix_hash, shingle_hashes, signed, slices, span_hash, stored, unpacked, word_spans
+from platewise.llm.common import LOWER, SPACE, flat, mix, packed, partitions, plain, prefix_hash, shingle_hashes, signed, slices, span_hash, spare, stored, unpacked, word_spans
 from platewise.llm.union import components
 
 BLOCK_BYTES = 4_000_000
@@ -301,6 +301,28 @@ def similarity_groups(docs: DataFrame, words: int = 3, least: int = 90) -> DataF
     return rows.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_per_group(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """The documents with one row of each group of similar ones, columns as they came.
+
+    Rows are judged each by its own text: of a group, the row of the smallest doc_id stays
+    (a null one only if there is no other), of its rows the text with the least key, and of
+    rows equal in both any one. Documents without words all stay.
+    """
+    sets, roots = linked(docs, words, least)
+    facts = sets.where("n > 0").join(roots, sets["th"] == roots["node"], "left").select("th", F.coalesce("root", "th").alias("root"))
+    rows = docs.select("doc_id", text_key().alias("th")).groupBy("doc_id", "th").agg(F.count("*").alias("copies")).join(facts, "th")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    best = rows.groupBy("root").agg(F.min(first).alias("best"))
+    rows = rows.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    key, id_, text = (spare(docs, c) for c in ("text_key", "id", "of"))
+    judged = stored(rows.select(F.col("doc_id").alias(id_), F.col("th").alias(text), "stays", "copies"), "judged")
+    keyed = docs.withColumn(key, text_key())
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(text))
+    kept = keyed.join(judged.where("NOT stays OR copies > 1").select(id_, text), same, "left_anti")
+    several = keyed.join(judged.where("stays AND copies > 1").select(id_, text), same, "left_semi").dropDuplicates(["doc_id", key])
+    return kept.select(*docs.columns).union(several.select(*docs.columns))
+
+
 OP2_SQL = """
 WITH words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -61,6 +61,21 @@ def test_registered():
     assert set(queries.REGISTRY) | {"pipeline"} <= set(entry_points.queries())
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows are judged by their own texts, also where they share a doc_id or have none."""
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{rng.integers(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    near = b.rsplit(" ", 1)[0]
+    rows = [(1, a, 1), (1, a, 2), (2, b, 3), (3, near, 4), (3, c, 5), (None, a, 6), (4, None, 7), (5, "", 8), (5, "", 9), (None, "lone words here", 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, text_key int")
+    kept = corpus_pipeline.join_ngrams(spark, frame, DIRECTORY)
+    assert kept.columns == frame.columns
+    found = sorted((tuple(r)[:2] for r in kept.collect()), key=repr)
+    assert found == sorted([(1, a), (2, b), (3, c), (4, None), (5, ""), (5, ""), (None, "lone words here")], key=repr)
+
+
 def test_pipeline(spark):
     docs = prepare(spark).read.parquet(f"{DIRECTORY}/documents.parquet").cache()
     columns, before = docs.columns, docs

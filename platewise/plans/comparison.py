@@ -733,6 +733,20 @@ SELECTS = {
       FROM (SELECT *, min(conv_id) OVER (PARTITION BY text) AS newest FROM conversations WHERE role = 'user')""",
     "parse_structured": """
       SELECT event_id, CAST(json_extract(props, '$.k') AS bigint) AS k, json_extract(props, '$.k') IS NOT NULL AS valid FROM events""",
+    "answer_violations": """
+      SELECT * FROM (WITH forecast_days AS (
+        SELECT l_orderkey AS o, l_linenumber AS l, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem
+      ), forecast_rows AS (
+        SELECT *, '$.order_data[' || i || ']' AS p, o % 11 = 4 AND l = 2 AS seven FROM forecast_days WHERE o % 13 > 1
+      )
+      SELECT DISTINCT o AS order_id, '$' AS path, 'not json' AS problem FROM forecast_days WHERE o % 13 = 0
+      UNION ALL SELECT DISTINCT o, '$.order_data', 'not an array' FROM forecast_days WHERE o % 13 = 1
+      UNION ALL SELECT DISTINCT o, '$.reasoning', 'not a string' FROM forecast_days WHERE o % 13 = 1
+      UNION ALL SELECT DISTINCT o, '$.reasoning', 'missing' FROM forecast_rows WHERE o % 4 = 2
+      UNION ALL SELECT o, p, 'not an object' FROM forecast_rows WHERE seven
+      UNION ALL SELECT o, p || '.date', 'missing' FROM forecast_rows WHERE NOT seven AND o % 3 = 1 AND l % 4 = 1
+      UNION ALL SELECT o, p || '.order_count', CASE o % 5 WHEN 2 THEN 'missing' ELSE 'not an integer' END FROM forecast_rows
+        WHERE NOT seven AND ((o % 5 = 1 AND l % 2 = 0) OR (o % 5 = 2 AND l % 3 = 0) OR (o % 5 = 3 AND l % 2 = 1)))""",
     "parse_fenced_json": f"""
       SELECT p_partkey, CASE WHEN p_size <= 40 THEN CAST(p_partkey AS varchar) ELSE '-1' END AS item_id,
         CASE WHEN p_size <= 20 THEN p_name WHEN p_size <= 40 THEN p_name || '''s' ELSE 'LLM JSON parsing failed' END AS item_name FROM part

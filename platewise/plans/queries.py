@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from platewise import schemas
 from platewise.adapters import DriverTables
 from platewise.functions import lexicons, text
-from platewise.operators import inference, ingredients, menu, names, orders, reviews, sessions, timeseries, vectors, vendors
+from platewise.operators import answers, inference, ingredients, menu, names, orders, reviews, sessions, timeseries, vectors, vendors
 from platewise.plans.context import vendor_context
 from platewise.session import scratch_path, tune
 from platewise.sources import feeds, readers, writers
@@ -724,6 +724,24 @@ def parse_structured(t: DriverTables) -> DataFrame:
     return parsed.select("event_id", F.col("parsed.k").alias("k"), "valid")
 
 
+@query
+def answer_violations(t: DriverTables) -> DataFrame:
+    """Forecast answers, one per order and a day per line, with fields that are lost, mistyped or null by number."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    count = (
+        F.when((order % 5 == 1) & (line % 2 == 0), '"many"').when((order % 5 == 2) & (line % 3 == 0), "null")
+        .when((order % 5 == 3) & (line % 2 == 1), "2.5").otherwise(line.cast("string"))
+    )
+    date = F.when((order % 3 == 1) & (line % 4 == 1), "").otherwise('"date": "2025-02-01", ')
+    day = F.when((order % 11 == 4) & (line == 2), "7").otherwise(F.concat(F.lit("{"), date, F.lit('"order_count": '), count, F.lit("}")))
+    days = t.raw("lineitem").groupBy(order.alias("order_id")).agg(F.sort_array(F.collect_list(F.struct(line.alias("line"), day.alias("day")))).alias("days"))
+    reason = F.when(F.col("order_id") % 4 == 2, "").otherwise(', "reasoning": "as before", "more": 1')
+    whole = F.concat(F.lit('```json{"order_data": ['), F.array_join("days.day", ", "), F.lit("]"), reason, F.lit("}```"))
+    answer = F.when(F.col("order_id") % 13 == 0, "Sorry, no forecast").when(F.col("order_id") % 13 == 1, '{"order_data": {}, "reasoning": 5}').otherwise(whole)
+    checked = answers.checked_answers(days.select("order_id", answer.alias("response")), schemas.DAY_FORECAST)
+    return answers.violations(checked, "order_id")
+
+
 @query
 def parse_fenced_json(t: DriverTables) -> DataFrame:
     """Three kinds of answer by product size: a fenced list, one with an apostrophe, and prose."""
@@ -731,8 +749,8 @@ def parse_fenced_json(t: DriverTables) -> DataFrame:
     plain = F.concat(F.lit("```json[{'id': "), id_, F.lit(", 'name': '"), name, F.lit("'}, {'id': -7, 'name': 'x'}]```"))
     apostrophe = F.concat(F.lit('```json[{"id": '), id_, F.lit(', "name": "'), name, F.lit("'s\"}]```"))
     answer = F.when(size <= 20, plain).when(size <= 40, apostrophe).otherwise(F.concat(F.lit("Sorry, no "), name))
-    answers = t.raw("part").select("p_partkey", answer.alias("response"))
-    return inference.parse_fenced_json(answers, schemas.RANKED_ITEMS).drop("response")
+    given = t.raw("part").select("p_partkey", answer.alias("response"))
+    return inference.parse_fenced_json(given, schemas.RANKED_ITEMS).drop("response")
 
 
 @query

@@ -71,6 +71,29 @@ INGREDIENTS = "array<struct<ingredient:string,measurement_unit:string,measuremen
 ORDER_FORECAST = "struct<order_data:array<struct<date:string,product_name:string,order_count:int>>,reasoning:string>"
 RANKED_ITEMS = "array<struct<id:string,name:string,relevance_score:double>>"
 
+# The fields of nested answers, where NOT NULL marks the required ones.
+DAY_FORECAST = "struct<order_data:array<struct<date:string NOT NULL,order_count:int NOT NULL>> NOT NULL,reasoning:string NOT NULL>"
+PRODUCT_FEEDBACK = (
+    "struct<feedback_summary:array<struct<points:string NOT NULL>> NOT NULL,"
+    "suggestions:array<struct<points:string NOT NULL>> NOT NULL,rating_score:double NOT NULL>"
+)
+SENTIMENT_ANSWER = (
+    "struct<sentiment_breakdown:struct<general_sentiment:string NOT NULL,positive_review_percentage:double NOT NULL,"
+    "neutral_review_percentage:double NOT NULL,negative_review_percentage:double NOT NULL,"
+    "high_price_complain_reviews:double NOT NULL,sentiment_score:double NOT NULL> NOT NULL,"
+    "marketing_suggestions:struct<bundle_items:array<string>,promotional_strategies:array<string>>,"
+    "pricing_optimization:struct<price_strategy:string,value_add_suggestions:array<string>>,"
+    "best_item:struct<name:string NOT NULL,postive_neutral_review_percentage:double NOT NULL,reasoning:string NOT NULL> NOT NULL,"
+    "worst_item:struct<name:string NOT NULL,negative_review_percentage:double NOT NULL,reasoning:string NOT NULL,"
+    "marketing_suggestions:struct<improvement_suggestions:array<string>,alternative_items:array<string>> NOT NULL,"
+    "pricing_optimization:struct<price_suggestion:string,bundle_suggestions:array<string>> NOT NULL> NOT NULL,"
+    "delivery_packing_review_sentiment:struct<sentiment:string NOT NULL,negative_review_percentage:double NOT NULL>>"
+)
+NUTRITION_ANSWER = (
+    "struct<quantity:string NOT NULL,energy:string NOT NULL,carbohydrates:string NOT NULL,"
+    "fiber:string NOT NULL,protein:string NOT NULL,fat:string NOT NULL>"
+)
+
 # The order-status vocabulary.
 ORDER_STATUSES = (
     "payment_pending", "approval_pending", "preorder", "new", "attention_required", "agent_picked",

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import sys
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from platewise import schemas
-from platewise.operators import inference, menu, sessions
+from platewise.operators import answers, inference, menu, sessions
 
 # The models below travel with the jobs, like a user's script would.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,3 +140,65 @@ def test_feedback_prompts_are_split_and_whole(spark):
     found = inference.render_feedback("Reviews:\n{reviews}\nEnd", comments, part_size=10).collect()
     lines = [line for r in found for line in r["prompt"].split("\n")[1:-1]]
     assert len(found) == 3 and sorted(lines) == sorted(f"4/5, c{i}" for i in range(25))
+
+
+def wrong(spark, schema, *texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, response string")
+    checked = answers.checked_answers(frame, schema)
+    found = {i: [] for i in range(len(texts))}
+    for r in answers.violations(checked, "id").collect():
+        found[r["id"]].append((r["path"], r["problem"]))
+    return [sorted(found[i]) for i in range(len(texts))]
+
+
+def test_sentiment_answers_are_checked_with_paths(spark):
+    right = {
+        "sentiment_breakdown": {
+            "general_sentiment": "good", "positive_review_percentage": 60, "neutral_review_percentage": 20.5,
+            "negative_review_percentage": 1e1, "high_price_complain_reviews": 0, "sentiment_score": 71,
+        },
+        "best_item": {"name": "Upma", "postive_neutral_review_percentage": 90, "reasoning": "fresh"},
+        "worst_item": {
+            "name": "Kheer", "negative_review_percentage": 30, "reasoning": "late", "pricing_optimization": {},
+            "marketing_suggestions": {"improvement_suggestions": ["a", "b"], "alternative_items": None},
+        },
+        "not named by the schema": [1],
+    }
+    lost = json.loads(json.dumps(right))
+    del lost["best_item"]["name"], lost["worst_item"]["pricing_optimization"]
+    lost["sentiment_breakdown"]["sentiment_score"] = None
+    odd = json.loads(json.dumps(right))
+    odd["worst_item"]["marketing_suggestions"]["improvement_suggestions"] = ["a", 5, None]
+    odd["best_item"], odd["marketing_suggestions"] = [], {"bundle_items": "one"}
+    found = wrong(spark, schemas.SENTIMENT_ANSWER, json.dumps(right), json.dumps(lost), json.dumps(odd))
+    assert found == [
+        [],
+        [("$.best_item.name", "missing"), ("$.sentiment_breakdown.sentiment_score", "missing"), ("$.worst_item.pricing_optimization", "missing")],
+        [
+            ("$.best_item", "not an object"), ("$.marketing_suggestions.bundle_items", "not an array"),
+            ("$.worst_item.marketing_suggestions.improvement_suggestions[1]", "not a string"),
+            ("$.worst_item.marketing_suggestions.improvement_suggestions[2]", "missing"),
+        ],
+    ]
+
+
+def test_product_and_nutrition_answers_are_checked(spark):
+    points = lambda *p: [{"points": x} for x in p]
+    right = json.dumps({"feedback_summary": points("a", "b"), "suggestions": [], "rating_score": 7})
+    odd = json.dumps({"feedback_summary": [*points("a", 3), {}], "suggestions": 1, "rating_score": "7"})
+    assert wrong(spark, schemas.PRODUCT_FEEDBACK, right, odd) == [
+        [],
+        [("$.feedback_summary[1].points", "not a string"), ("$.feedback_summary[2].points", "missing"),
+         ("$.rating_score", "not a number"), ("$.suggestions", "not an array")],
+    ]
+    food = {"quantity": "70 g", "energy": "320 kcal", "carbohydrates": "41 g", "fiber": "1 g", "protein": "6 g", "fat": "14 g"}
+    fenced = "```json" + json.dumps(food) + "```"
+    assert wrong(spark, schemas.NUTRITION_ANSWER, fenced, json.dumps(food | {"fat": 14}), "", "[1]", None, "no food") == [
+        [], [("$.fat", "not a string")], [("$", "not json")], [("$", "not an object")], [("$", "not json")], [("$", "not json")],
+    ]
+
+
+def test_right_answers_are_parsed(spark):
+    text = '```json\n{"order_data": [{"date": "2025-02-01", "order_count": 3}], "reasoning": "x"}\n```'
+    row = answers.checked_answers(spark.createDataFrame([(text,)], "response string"), schemas.DAY_FORECAST).first()
+    assert row["problems"] == [] and row["parsed"]["order_data"][0]["order_count"] == 3

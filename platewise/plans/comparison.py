@@ -578,6 +578,7 @@ SELECTS = {
           CASE WHEN predicted_count > 0 THEN abs(predicted_count - actual_count) / predicted_count * 100 ELSE 0.0 END AS pct FROM compared)
       WINDOW v AS (PARTITION BY vendor_id)""",
     "reviews_by_date": "SELECT * FROM review_parts",
+    "refresh_daily": "SELECT * FROM daily_all",
     "max_updated_at": "SELECT l_suppkey AS vendor_id, max(CAST(l_shipdate AS date)) AS max_updated_at FROM lineitem GROUP BY l_suppkey",
     "best_worst_selling": "SELECT vendor_id, menu_name, position, orders, price, rating FROM performance",
     "best_worst_item": """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from platewise import schemas
 from platewise.adapters import DriverTables
 from platewise.functions import lexicons, text
-from platewise.operators import answers, inference, ingredients, menu, names, orders, reviews, sessions, timeseries, vectors, vendors
+from platewise.operators import answers, incremental, inference, ingredients, menu, names, orders, reviews, sessions, timeseries, vectors, vendors
 from platewise.plans.context import vendor_context
 from platewise.session import scratch_path, tune
 from platewise.sources import feeds, readers, writers
@@ -429,6 +429,18 @@ def reviews_by_date(t: DriverTables) -> DataFrame:
     return reviews.reviews_by_date(_comments(t))
 
 
+@query
+def refresh_daily(t: DriverTables) -> DataFrame:
+    """Daily orders built from the orders known some days before, then brought up to date."""
+    stamped = t.sales_order.withColumn("updated_at", F.date_add("created_date", (F.col("id") % 40).cast("int")))
+    known = stamped.filter(F.col("updated_at") <= F.lit(t.as_of - dt.timedelta(days=20)))
+    path = scratch_path(t.spark, "daily")
+    count = lambda df: df.groupBy("vendor_id", "created_date").agg(F.count("*").alias("order_count"))
+    for orders_so_far in (known, stamped):
+        incremental.refresh_daily(orders_so_far, count, path, unit=incremental.MONTH)
+    return incremental.read_daily(t.spark, path, incremental.MONTH)
+
+
 @query
 def max_updated_at(t: DriverTables) -> DataFrame:
     stamped = t.raw("lineitem").select(F.col("l_suppkey").alias("vendor_id"), F.to_date("l_shipdate").alias("updated_at"))

@@ -1,6 +1,8 @@
 import datetime as dt
 
-from platewise.operators import orders, vendors
+from pyspark.sql import functions as F
+
+from platewise.operators import incremental, orders, vendors
 
 DAY = dt.date(2025, 2, 1)
 
@@ -129,3 +131,44 @@ def test_hot_vendor_keeps_every_row(spark):
 def test_unknown_statuses(spark, rows):
     df = spark.createDataFrame([("new",), ("cancelled",), ("cancelled",), (None,)], "status string")
     assert rows(orders.unknown_statuses(df)) == [("cancelled", 2)]
+
+
+STAMPED = "id bigint, vendor_id bigint, created_date date, updated_at timestamp"
+
+
+def test_only_touched_days_are_computed_again(spark, tmp_path, rows):
+    day = lambda n: dt.date(2025, 1, 1) + dt.timedelta(days=n)
+    at = lambda n: dt.datetime(2025, 2, 1, n)
+    first = [(i, i % 2, day(i % 10), at(i % 3)) for i in range(40)]
+    path, count = str(tmp_path / "daily"), lambda df: df.groupBy("vendor_id", "created_date").agg(F.count("*").alias("n"))
+    whole = lambda data: rows(count(spark.createDataFrame(data, STAMPED)))
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "daily").rglob("*.parquet")}
+    run = lambda data: incremental.refresh_daily(spark.createDataFrame(data, STAMPED), count, path)
+    stored = lambda: rows(incremental.read_daily(spark, path).select("vendor_id", "created_date", "n"))
+    run(first)
+    assert stored() == whole(first)
+    before = files()
+    second = [*first, (100, 0, day(4), at(5)), (101, 1, day(12), at(6))]
+    run(second)
+    assert stored() == whole(second)
+    kept = {f.parent.name for f in set(files()) & set(before)}
+    # Days changed at the watermark itself are read again, days before it are not.
+    again = {f"day={d}" for i, _, d, t in first if t >= at(2)} | {"day=" + str(day(4)), "day=" + str(day(12))}
+    assert kept == {f.parent.name for f in before} - again
+    middle = files()
+    run(second)  # a repeated run changes nothing but rewrites the last days
+    assert stored() == whole(second)
+    assert set(middle) & set(files()) == {f for f in middle if f.parent.name != "day=" + str(day(12))}
+    assert incremental.watermark(spark, path) == at(6)
+    run([])
+    assert stored() == whole(second)
+
+
+def test_the_range_of_touched_days_reaches_the_scan(spark, tmp_path):
+    data = [(i, 1, dt.date(2025, 1, 1) + dt.timedelta(days=i), dt.datetime(2025, 2, 1) + dt.timedelta(days=i)) for i in range(60)]
+    spark.createDataFrame(data, STAMPED).write.parquet(str(tmp_path / "o"))
+    orders_ = spark.read.parquet(str(tmp_path / "o"))
+    found = incremental.touched(orders_, dt.datetime(2025, 3, 30), "updated_at", "created_date", incremental.MONTH)
+    assert found.count() == 29 and found.agg({"created_date": "min"}).first()[0] == dt.date(2025, 2, 1)
+    assert "GreaterThanOrEqual(created_date,2025-02-01)" in found._jdf.queryExecution().executedPlan().toString()
+    assert incremental.touched(orders_, dt.datetime(2026, 1, 1), "updated_at", "created_date", incremental.DAY) is None

@@ -756,21 +756,21 @@ SELECTS = {
       SELECT p_partkey AS id, p_name AS prompt, CASE WHEN length(p_name) <= 22 THEN upper(p_name) END AS completion,
         CASE WHEN length(p_name) > 22 THEN 'ValueError: prompt too long' END AS error FROM part""",
     "vendor_context": f"""
-      SELECT s_suppkey AS vendor_id, 'vendor' AS block, CAST(0 AS bigint) AS part, 'Vendor Name: ' || s_name || chr(10)
+      SELECT s_suppkey AS vendor_id, 'vendor' AS block, CAST(0 AS bigint) AS section, CAST(0 AS bigint) AS part, 'Vendor Name: ' || s_name || chr(10)
         || 'Vendor Description: Balance ' || CAST(CAST(s_acctbal AS {MONEY}) AS varchar) AS text FROM supplier
-      UNION ALL SELECT vendor_id, 'total_revenue', 0, {_SUMS} FROM totals
-      UNION ALL SELECT vendor_id, 'monthly_revenue', 0, string_agg(month || ': ' || {_SUMS}, chr(10) ORDER BY month) FROM months GROUP BY vendor_id
-      UNION ALL SELECT vendor_id, 'daily_revenue', 0, string_agg({_LINE}, chr(10) ORDER BY created_date) FROM revenue GROUP BY vendor_id
-      UNION ALL SELECT vendor_id, 'holiday_sales', 0, string_agg({_LINE}, chr(10) ORDER BY created_date) FROM revenue
+      UNION ALL SELECT vendor_id, 'total_revenue', 0, 0, {_SUMS} FROM totals
+      UNION ALL SELECT vendor_id, 'monthly_revenue', 0, 0, string_agg(month || ': ' || {_SUMS}, chr(10) ORDER BY month) FROM months GROUP BY vendor_id
+      UNION ALL SELECT vendor_id, 'daily_revenue', 0, 0, string_agg({_LINE}, chr(10) ORDER BY created_date) FROM revenue GROUP BY vendor_id
+      UNION ALL SELECT vendor_id, 'holiday_sales', 0, 0, string_agg({_LINE}, chr(10) ORDER BY created_date) FROM revenue
         WHERE created_date IN (SELECT date FROM holidays) GROUP BY vendor_id
-      UNION ALL SELECT vendor_id, 'item_performance', 0, string_agg(upper(position[1:1]) || position[2:] || ' selling item: ' || menu_name || ': ' || orders
+      UNION ALL SELECT vendor_id, 'item_performance', 0, 0, string_agg(upper(position[1:1]) || position[2:] || ' selling item: ' || menu_name || ': ' || orders
         || ' orders, Price: ₹' || printf('%.2f', price), chr(10) ORDER BY position) FROM performance GROUP BY vendor_id
-      UNION ALL SELECT vendor_id, 'schedule', 0, string_agg(concat_ws(', ', day_of_week, start_time, end_time, location_name, company_name, city, state_name),
+      UNION ALL SELECT vendor_id, 'schedule', 0, 0, string_agg(concat_ws(', ', day_of_week, start_time, end_time, location_name, company_name, city, state_name),
         chr(10) ORDER BY day_order, location_id) FROM hours GROUP BY vendor_id
-      UNION ALL SELECT vendor_id, 'reviews', (comment_date - date '1970-01-01') * 1000000 + part,
+      UNION ALL SELECT vendor_id, 'reviews', comment_date - date '1970-01-01', part,
         'Review Date: ' || CAST(comment_date AS varchar) || chr(10) || review_text FROM review_parts
       UNION ALL SELECT conv_id % (SELECT count(*) FROM supplier), CASE WHEN pairs < 7 THEN 'history' ELSE 'long_history' END,
-        conv_id * 1000 + turn // 100, string_agg({_HISTORY}, chr(10) ORDER BY turn) FROM turns GROUP BY conv_id, turn // 100, pairs""",
+        conv_id, turn // 100, string_agg({_HISTORY}, chr(10) ORDER BY turn) FROM turns GROUP BY conv_id, turn // 100, pairs""",
 }
 
 SQL = {name: _with_steps(select) for name, select in SELECTS.items()}

@@ -21,7 +21,7 @@ BOUND = 0.98
 DOUBLINGS = 12
 START = 0.3
 # First step, last step and most moves of the search by sums of squares, and of the one by likelihood that ends it.
-COARSE, FINE = (0.8, 0.05, 25), (0.05, 0.02, 4)
+COARSE, FINE = (0.8, 0.01, 60), (0.05, 0.02, 6)
 # Bound of the search's scale, on which a coefficient is BOUND * tanh.
 WIDEST = 2.5
 

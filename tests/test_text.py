@@ -286,3 +286,16 @@ def test_component_limit(spark):
 )
 def test_combos_are_split_after_each_dish(spark, name, expected):
     assert one(spark, name, text.split_components) == expected
+
+
+def test_candidates_of_a_name_that_many_items_carry_are_not_expanded_before_they_are_merged(spark, rows):
+    components = spark.createDataFrame([(i, 0, "dal") for i in range(400)] + [(7, 0, "dal"), (7, 1, None)], "id long, position int, component string")
+    near = spark.createDataFrame([(3, 1, 0.5), (3, 1, 0.75), (3, 90, 0.25), (7, 5, 1.0)], "query_id long, id long, similarity double")
+    by_name = spark.createDataFrame([("dal", i) for i in [None, *range(50)]], "component string, root_id long")
+    found = menu.component_candidates(components, near, by_name)
+    got = rows(found)
+    assert len(got) == len(set(got)) == 400 * 51 + 1 + 1  # one candidate of item 3 that no name has, one of the null component
+    assert {r[4] for r in got if r[0] == 3 and r[3] == 1} == {0.75} and (3, 0, "dal", 90, 0.25) in got
+    assert (0, 0, "dal", None, 0.0) in got and (7, 0, "dal", 5, 1.0) in got and (7, 1, None, 5, 1.0) in got
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(") < min(plan.index(a) for a in ("Aggregate", "Join"))  # expanded last

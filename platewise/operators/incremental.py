@@ -71,6 +71,7 @@ def refresh_daily(
     if until is None or again is None:
         return
     rows = aggregate(again).withColumn(unit, _unit_start(date, unit).cast("string"))
+    rows = rows.hint("rebalance", F.col(unit))  # a partition comes to few files, however many tasks made its rows
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(path)
     spark.range(1).select(F.lit(until).alias("until")).write.mode("append").parquet(f"{path.rstrip('/')}-watermark")
 

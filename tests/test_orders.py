@@ -172,3 +172,16 @@ def test_the_range_of_touched_days_reaches_the_scan(spark, tmp_path):
     assert found.count() == 29 and found.agg({"created_date": "min"}).first()[0] == dt.date(2025, 2, 1)
     assert "GreaterThanOrEqual(created_date,2025-02-01)" in found._jdf.queryExecution().executedPlan().toString()
     assert incremental.touched(orders_, dt.datetime(2026, 1, 1), "updated_at", "created_date", incremental.DAY) is None
+
+
+def test_refreshed_partitions_have_few_files(spark, tmp_path):
+    """However many tasks make the aggregates; and shuffles start from more partitions than the session's."""
+    stamped = spark.range(0, 4000, 1, 16).selectExpr("id", "id % 300 AS vendor_id", "date_add(date'2024-01-01', cast(id % 150 AS int)) AS created_date")
+    stamped = stamped.withColumn("updated_at", F.col("created_date"))
+    count = lambda df: df.groupBy("vendor_id", "created_date").agg(F.count("*").alias("order_count")).repartition(16, "vendor_id")
+    incremental.refresh_daily(stamped, count, str(tmp_path / "daily"), unit=incremental.MONTH)
+    for month in (tmp_path / "daily").glob("month=*"):
+        assert len(list(month.glob("*.parquet"))) == 1
+    found = incremental.read_daily(spark, str(tmp_path / "daily"), incremental.MONTH)
+    assert found.count() == 300 and found.agg(F.sum("order_count")).first()[0] == 4000
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > int(spark.conf.get("spark.sql.shuffle.partitions"))

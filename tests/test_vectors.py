@@ -158,3 +158,30 @@ def test_far_cells_are_skipped(spark):
     floor = np.sort(np.rint(queries @ unit(catalogue).T * vectors.SCALE), axis=1)[:, -3]
     looked = vectors._Exact(centroids, counts, 3, radius).bounds(queries) >= floor[:, None]
     assert looked.sum() < 50 * (counts > 0).sum() * 0.75
+
+
+def test_blocks_are_scored_in_chunks(spark):
+    """However large blocks and batches are, so many rows are compared at a time; nothing below a strict bound is emitted."""
+    import pyarrow as pa
+
+    centroids = unit(np.random.default_rng(3).normal(size=(4, 8)))
+    widest = []
+
+    class Counted(vectors._Exact):
+        def scores(self, queries, *more):
+            widest.append(len(queries))
+            return super().scores(queries, *more)
+
+    rng, n = np.random.default_rng(5), 2 * vectors.CHUNK_ROWS + 1
+    asked, stored = rng.normal(size=(n, 8)).astype("float32"), rng.normal(size=(40, 8)).astype("float32")
+    strategy = Counted(centroids, np.array([40, 0, 0, 0]), 3, np.full(4, np.pi))
+    exact = np.rint(unit(asked) @ unit(stored).T * vectors.SCALE).astype("int64")
+    floor = np.sort(exact, axis=1)[:, -2]
+    row = {"qcell": 0, "qnumber": 0, "ids": np.arange(n), "block": asked.tobytes(), "floor": floor.tobytes()}
+    running = vectors._Running(row, strategy, 3, [pa.int64(), pa.int64()])
+    running.read({"cell": 0, "ids": np.arange(40), "block": stored.tobytes()})
+    assert max(widest) <= vectors.CHUNK_ROWS and sum(widest) == n
+    listed = vectors._listed(running).to_pydict()
+    assert len(listed["id"]) == (exact >= floor[:, None]).sum() and len(listed["id"]) < 3 * n
+    batch = pa.RecordBatch.from_pydict({"id": range(n)})
+    assert [b.num_rows for b in vectors._chunks(iter([batch]))] == [vectors.CHUNK_ROWS] * 2 + [1]

@@ -463,6 +463,22 @@ def test_passages_with_shifts_across_lanes(spark):
     assert sum(r["n_covered"] >= 50 for r in found) >= 36
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_passages_beside_a_text_that_shares_less(spark, monkeypatch, few):
+    """Two texts share a passage, whichever texts share only its middle words."""
+    monkeypatch.setattr(passages, "FEW", few)
+    rng = random.Random(31)
+    rows = []
+    for k in range(30):
+        own, lead = [f"w{k}x{i}" for i in range(60)], lambda m: [f"q{rng.random()}" for _ in range(m)]
+        parts = [own, own, *(own[i : i + 40] for i in range(0, 21, 2))]
+        rows += [(100 * k + j, " ".join(lead(60) + part + lead(60))) for j, part in enumerate(parts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = {r["doc_id"]: r["n_covered"] for r in passages.passage_report(frame).collect()}
+    assert all(n == 0 for d, n in covered.items() if d % 100 > 1)
+    assert sum(n >= 60 for d, n in covered.items() if d % 100 < 2) >= 58
+
+
 def test_passages(docs, rows):
     """Every passage of 50 words that stands in two different texts is found, and texts that share nothing are left alone."""
     low = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t, *_ in rows]

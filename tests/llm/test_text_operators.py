@@ -180,6 +180,29 @@ def test_jaccard(docs, rows, n, least, rare, monkeypatch):
     assert table(found, "doc_id", "n_shingles", "component_id") == sorted(expected, key=repr)
 
 
+def test_near_copies_below_the_threshold_are_no_candidates(spark):
+    """Of texts that share most of their combinations, only those become pairs that can be similar."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.sample(range(120), 6):
+            words[at] = f"x{rng.random()}"
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+    assert len(links) < 60
+    pack = jaccard.zstandard.ZstdCompressor()
+    frame = [(i, len(s), i, pack.compress(t.encode())) for i, (t, s) in enumerate(zip(texts, sets, strict=True))]
+    frame = spark.createDataFrame(frame, "th long, n long, node long, ztext binary")
+    names = ["signature", "th", "n", "node", *getattr(jaccard, "PARITIES", [])]
+    combos = prepare(spark) and frame.mapInArrow(jaccard._combined(3, 90), ", ".join(f"{c} long" for c in names))
+    found = set(table(jaccard._across(combos, 90), "a", "b"))
+    assert links <= found
+    assert len(found) <= 2 * len(links)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7), (5, None)], "a long, b long")
     assert dict(table(components(edges), "node", "root")) == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}

@@ -439,6 +439,26 @@ def test_lines_of_few_words(spark):
     assert not {(texts.index((x * 5).strip()), texts.index((x * 10).strip())) for x in ("all day long ",)} & missed
 
 
+def test_rare_shingles_of_lines(spark, monkeypatch):
+    """Similar lines share one also where many shingles are counted together, and only lines are moved for it."""
+    monkeypatch.setattr(lines, "CELLS", 64, raising=False)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(8, 30)) for _ in range(40)]
+    texts = sorted({y for x in texts for y in (x, x[:30] + "#" + x[31:], x + " #")})
+    frame = spark.createDataFrame(list(enumerate(texts)), "lid long, norm string")
+    rare = lines.prefixes(frame)
+    assert not re.search(r"hashpartitioning\((s|lid#\d+L?, m)#", rare._jdf.queryExecution().executedPlan().toString())
+    keys = collections.defaultdict(set)
+    for r in rare.collect():
+        keys[r["lid"]].add(r["s"])
+    sets = [shingled(x) for x in texts]
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(links) >= 40 and all(keys[i] & keys[j] for i, j in links)
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    assert links <= (near := set(table(lines.likely(pairs, frame), "a", "b")))
+    assert len(near) <= 2 * len(links)
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = lines.similar(lines.split(docs).where("lid is not null").groupBy("lid").agg({"norm": "first"}).toDF("lid", "norm"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())

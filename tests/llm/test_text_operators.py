@@ -4,12 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from platewise.llm import bpe, exact, jaccard, licenses, lines, mixing, passages, suffixes, toxicity
+from platewise.llm import bpe, common, exact, jaccard, licenses, lines, mixing, passages, suffixes, toxicity
 from platewise.llm.common import prepare
 from platewise.llm.union import components
 
@@ -463,6 +464,42 @@ def test_rare_shingles_of_lines(spark, monkeypatch):
     assert len(near) <= 2 * len(links)
 
 
+def test_open_bands_in_passes(spark, monkeypatch):
+    """Rows of large open bands are compared a part at a time, and the parts find all links."""
+    written, stored = [], lines.stored
+
+    def counted(df, name):
+        written.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(lines, "stored", counted)
+    rng = random.Random(17)
+    texts = ["please read the terms of use " + "".join(rng.choice("bcdfghjkl") for _ in range(100)) for _ in range(40)]
+    texts += [x[:60] + "#" + x[61:] for x in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "lid long, norm string")
+    monkeypatch.setattr(lines, "FEW", 0)
+    monkeypatch.setattr(lines, "bands", lambda kept, *_: lines.F.array(lines.F.lit(1).cast("long")))
+    found = {(r["a"], r["b"]) for r in lines.similar(frame).collect()}
+    assert {(i, i + 40) for i in range(40)} <= found
+    assert written.count("pairs") > 4
+
+
+def test_shuffles_of_stored_frames_go(spark):
+    """Shuffle files are deleted with the end of the write, and the session option stays as it was."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, option = files(), spark.conf.get(common.CLEANUP, None)
+    made = common.stored(spark.range(10000).groupBy((lines.F.col("id") % 97).alias("k")).count(), "counts")
+    assert made.count() == 97 and made.agg({"count": "sum"}).first()[0] == 10000
+    assert spark.conf.get(common.CLEANUP, None) == option
+    for _ in range(50):
+        left = {f for f in files() - before if f.endswith(".data")}
+        if len(left) <= 2:  # of the two counts above
+            break
+        time.sleep(0.2)
+    assert len(left) <= 2
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = lines.similar(lines.split(docs).where("lid is not null").groupBy("lid").agg({"norm": "first"}).toDF("lid", "norm"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())

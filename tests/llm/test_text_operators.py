@@ -563,6 +563,36 @@ def test_passages_beside_a_text_that_shares_less(spark, monkeypatch, few):
     assert sum(n >= 60 for d, n in covered.items() if d % 100 < 2) >= 58
 
 
+def test_passages_longer_than_those_of_the_smallest_text(spark):
+    """Two texts share 90 words, of which ten others have the first 60: all 90 are covered, not only what the others have."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(20):
+        own, lead = [f"w{k}x{i}" for i in range(90)], lambda m: [f"q{rng.random()}" for _ in range(m)]
+        rows += [(100 * k + j, " ".join(lead(60) + part + lead(60))) for j, part in enumerate([own, own, *[own[:60]] * 10])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = {r["doc_id"]: r["n_covered"] for r in passages.passage_report(frame).collect()}
+    assert all(n >= 60 for n in covered.values())
+    assert all(n == 90 for d, n in covered.items() if d % 100 < 2)
+
+
+def test_passages_store_no_row_for_each_shingle(spark, monkeypatch):
+    monkeypatch.setattr(passages, "FEW", 0)
+    written, stored = {}, passages.stored
+
+    def counted(df, name):
+        made = stored(df, name)
+        written[name] = max(written.get(name, 0), made.count())
+        return made
+
+    monkeypatch.setattr(passages, "stored", counted)
+    rng = random.Random(43)
+    own, lead = [f"w{i}" for i in range(60)], lambda m: [f"q{rng.random()}" for _ in range(m)]
+    rows = [(j, " ".join(lead(200) + part + lead(200))) for j, part in enumerate([own, own, *(own[i : i + 40] for i in range(0, 21, 2))])]
+    passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(written.values()) < 100 * len(rows)
+
+
 def test_passages(docs, rows):
     """Every passage of 50 words that stands in two different texts is found, and texts that share nothing are left alone."""
     low = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t, *_ in rows]
